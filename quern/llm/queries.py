@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixing, sharding
+from quern.llm import decontamination, mixing, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_sharding": sharding.op3_sharding,
         "op4_mixing": mixing.op4_mixing,
+        "op5_simhash": simhash.op5_simhash,
+        "op10_decontamination": decontamination.op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": mixing.OP4_SQL,
+        "op10_decontamination": decontamination.OP10_SQL,
     }
