@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontamination, mixing, sharding, simhash, toxicity
+from quern.llm import decontamination, licenses, mixing, sharding, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": sharding.op3_sharding,
         "op4_mixing": mixing.op4_mixing,
         "op5_simhash": simhash.op5_simhash,
+        "op6_licenses": licenses.op6_licenses,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_decontamination": decontamination.op10_decontamination,
     }
@@ -22,5 +23,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_mixing": mixing.OP4_SQL,
+        "op6_licenses": licenses.OP6_SQL,
         "op10_decontamination": decontamination.OP10_SQL,
     }
