@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontamination, licenses, mixing, pii, sharding, simhash, toxicity
+from quern.llm import decontamination, licenses, mixing, neighbours, pii, sharding, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": mixing.op4_mixing,
         "op5_simhash": simhash.op5_simhash,
         "op6_licenses": licenses.op6_licenses,
+        "op7_neighbours": neighbours.op7_neighbours,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_decontamination": decontamination.op10_decontamination,
     }
