@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontamination, licenses, mixing, neighbours, pii, sharding, simhash, toxicity
+from quern.llm import decontamination, licenses, mixing, neighbours, pii, sharding, simhash, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffixes": suffixes.op1_suffixes,
         "op2_pii": pii.op2_pii,
         "op3_sharding": sharding.op3_sharding,
         "op4_mixing": mixing.op4_mixing,
