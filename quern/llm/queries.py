@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontamination, licenses, mixing, neighbours, pii, sharding, simhash, suffixes, toxicity
+from quern.llm import decontamination, licenses, mixing, neighbours, pii, recompression, sharding, simhash, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": simhash.op5_simhash,
         "op6_licenses": licenses.op6_licenses,
         "op7_neighbours": neighbours.op7_neighbours,
+        "op8_recompression": recompression.op8_recompression,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_decontamination": decontamination.op10_decontamination,
     }
