@@ -61,6 +61,11 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str
     return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.greatest("_copies", F.lit(1))))).where("_copies > 0").select(*docs.columns)
 
 
+def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mix(docs)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # word counts once: the sums and the draws read (id, source, words), not the texts again

@@ -91,7 +91,6 @@ def shard(df: DataFrame, identity: list[str], shards: int = SHARDS, seed: int =
     """
     ids = [F.col(c) for c in identity]
     df = df.drop("shard", "slot")
-    # rows with equal identities (copies of one document) are numbered apart by nothing: salt the home with their order-free hash only
     df = df.withColumn("_home", F.pmod(_mix(seed, *ids), F.lit(partitions)).cast("int")).withColumn("_at", _mix(seed + 1, *ids))
     counts = {r["_home"]: r["n"] for r in df.groupBy("_home").agg(F.count(F.lit(1)).alias("n")).collect()}
     matrix = communication_matrix([counts.get(p, 0) for p in range(partitions)], shards, seed)
@@ -133,3 +132,9 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = cut(slim, "sharding")  # ids and sizes only; the exchange and its counts read this, not the texts again
     out = shard(slim, ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def stage_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their shard and slot; copies of a document are rows of their own."""
+    rows = docs.withColumn("_id", F.xxhash64(*docs.columns))
+    return shard(rows, ["doc_id", "_id"]).select(*docs.columns, "shard", F.col("slot").cast("long"))
