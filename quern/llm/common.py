@@ -1,59 +1,7 @@
-"""What the training-data operators share: the shared folder, tables cut from lineage, table readers."""
+"""What the training-data operators share with the rest: the shared folder, tables that cut lineage, table readers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from quern.storage import cut, drop, release, shared_dir, table
 
-from pyspark.sql import DataFrame, SparkSession
-
-_FALLBACK: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where the session names none (tests, a laptop) a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="quern-")
-        spark.sparkContext.setCheckpointDir(_FALLBACK[app])
-    return _FALLBACK[app]
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends here.
-
-    The files survive the loss of any executor; drop() removes them early.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._quern_path = path
-    return back
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables made by cut() that nothing reads any more, and let Spark clear old shuffles."""
-    for df in tables:
-        spark, path = df.sparkSession, df._quern_path
-        jvm = spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Shuffle files go when the driver's JVM collects the plans that made them; ask for it between phases."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["cut", "drop", "release", "shared_dir", "table"]
