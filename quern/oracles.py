@@ -55,7 +55,7 @@ docs AS (
     CASE WHEN length(h) <= 120 THEN h
          WHEN instr(reverse(left(h, 120)), ' ') > 0 AND 120 - instr(reverse(left(h, 120)), ' ') > 60 THEN rtrim(left(h, 120 - instr(reverse(left(h, 120)), ' ')))
          ELSE rtrim(left(h, 120)) END AS title,
-    list_filter([lang, CASE WHEN q = 1 THEN 'quality' END, CASE WHEN x = 1 THEN 'toxic' END], t -> t IS NOT NULL) AS tags,
+    list_filter([lang, CASE WHEN q = 1 THEN 'quality' END, CASE WHEN x = 1 THEN 'toxic' END], lambda t: t IS NOT NULL) AS tags,
     (DATE '2024-01-01' + (doc_id % 366)::INT)::TIMESTAMP AS published_at
   FROM c1)"""
 

@@ -177,10 +177,10 @@ def index_statistics(spark, sf_dir):
 
 def _batch(spark, sf_dir) -> DataFrame:
     """Every third document changed, every third as it is, and some new ones."""
-    d = corpus(spark, sf_dir).drop("checksum", "doc_id")
-    n = F.col("external_id").cast("long")
+    d = corpus(spark, sf_dir).drop("checksum").withColumnRenamed("doc_id", "_n")
+    n = F.col("_n")
     d = d.withColumn("body", F.when(n % 3 == 0, F.concat("body", F.lit(" freshword heat"))).otherwise(F.col("body")))
-    return d.withColumn("external_id", F.when(n % 10 == 9, F.concat(F.lit("n"), "external_id")).otherwise(F.col("external_id"))).where(n % 3 != 2)
+    return d.withColumn("external_id", F.when(n % 10 == 9, F.concat(F.lit("n"), "external_id")).otherwise(F.col("external_id"))).where(n % 3 != 2).drop("_n")
 
 
 def upsert_status(spark, sf_dir):
