@@ -1,7 +1,43 @@
-"""What the training-data operators share with the rest: the shared folder, tables that cut lineage, table readers."""
+"""What the training-data operators share: the library's shared folder and tables, and columns that an operator doesn't know."""
 
 from __future__ import annotations
 
+import functools
+import inspect
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from quern.storage import cut, drop, release, shared_dir, table
 
-__all__ = ["cut", "drop", "release", "shared_dir", "table"]
+__all__ = ["cut", "drop", "release", "shared_dir", "stowed", "table"]
+
+
+def stowed(*parameters: str) -> Callable:
+    """For operators on a DataFrame, `parameters` naming those of their arguments that hold column names.
+
+    All other columns get neutral names on the way in and their own on the way out, so that any
+    name goes through: those the operator uses for itself, names with dots or blanks, names equal
+    but for case. Where a result has a column's name, the result replaces it.
+    """
+
+    def wrap(fn):
+        signature = inspect.signature(fn)
+
+        @functools.wraps(fn)
+        def run(docs: DataFrame, *args, **kw) -> DataFrame:
+            bound = signature.bind(docs, *args, **kw)
+            bound.apply_defaults()
+            given = [bound.arguments[p] for p in parameters]
+            used = {x for g in given for x in ([g] if isinstance(g, str) else g)}
+            held = [c if c in used else f"own_{k}" for k, c in enumerate(docs.columns)]
+            own = dict(zip(held, docs.columns, strict=True))
+            out = fn(docs.toDF(*held), *args, **kw)
+            new = [c for c in out.columns if c not in own]
+            taken = {c.lower() for c in new}
+            return out.select(*[F.col(c).alias(own[c]) for c in out.columns if c in own and own[c].lower() not in taken], *new)
+
+        return run
+
+    return wrap

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import cut, table
+from quern.llm.common import cut, stowed, table
 from quern.llm.words import letter_words, text_bytes
 
 #: Words of a window.
@@ -100,6 +100,7 @@ def _pass(df: DataFrame, text: str, windows: dict[bytes, set[str]], often: dict[
     return df.mapInArrow(search, T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema]))
 
 
+@stowed("text")
 def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """docs with n_words, hit_spans (flat word spans start, end, start, end ... merged) and item_ids (sorted) of benchmark windows.
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import table
+from quern.llm.common import stowed, table
 
 #: Phrases of the base scan and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -110,6 +110,7 @@ def matches(lines: Column, templates: list[tuple[str, list[str], int]]) -> Colum
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
+@stowed("text")
 def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels (arrays, sorted) and score.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from quern.llm.common import cut, table
+from quern.llm.common import cut, stowed, table
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -40,6 +40,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_size", target.alias("target"))
 
 
+@stowed("text", "source", "ident")
 def with_copies(docs: DataFrame, text: str = "text", source: str = "source", ident: str = "doc_id", seed: str = SEED) -> DataFrame:
     """Each document with `_words`, `_source_size`, `_target` and `_copies`: floor(rate) plus one more where its hash falls under the fraction.
 
@@ -55,6 +56,7 @@ def with_copies(docs: DataFrame, text: str = "text", source: str = "source", ide
     return d.withColumn("_copies", copies(F.col("_target"), F.col("_source_size"), key, seed).cast("int"))
 
 
+@stowed("text", "source", "ident")
 def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str = "doc_id", seed: str = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
     out = with_copies(docs, text, source, ident, seed)

@@ -19,6 +19,8 @@ TABLES, PROJECTIONS, WIDTH = 4, 4, 1.0
 SAMPLE, RECALL = 4096, 0.97
 #: Index rows that one block should hold.
 BLOCK = 65_536
+#: Groups up to which their block counts are broadcast.
+MAPPED = 1 << 20
 _STEPS = np.array(list(product(range(-2, 3), repeat=PROJECTIONS)), np.int64)
 
 
@@ -162,9 +164,12 @@ def _rank(k: int):
             rough = q[s : s + 64] @ x.T
             for i in range(len(rough)):
                 j = s + i
-                at = np.minimum(np.searchsorted(cells, qcodes[j]), len(cells) - 1)
-                ok = np.zeros(len(cells), bool)
-                ok[at[cells[at] == qcodes[j]]] = True
+                if len(qcodes[j]):
+                    at = np.minimum(np.searchsorted(cells, qcodes[j]), len(cells) - 1)
+                    ok = np.zeros(len(cells), bool)
+                    ok[at[cells[at] == qcodes[j]]] = True
+                else:  # all rows, each in its cell of the first table
+                    ok = cells >> 48 == 0
                 some = np.flatnonzero(ok[inv] & (ids != qid[j]))
                 if not len(some):
                     continue
@@ -215,25 +220,34 @@ def search(df: DataFrame, queries: Column, k: int = 20, ident: str = "vec_id", v
     Cells are hashed into groups, and a group of over BLOCK index rows (many copies of a vector) is
     salted into blocks, to each of which its queries go: candidates are scored there with the
     original vectors in double precision, k rows a query and block go on, and a last ranking by
-    query merges them. Rows with null, zero or non-finite vectors, a null id, or another length
-    than most take no part; ties go to the smaller id; rows of equal id and score count once.
+    query merges them. A query whose cells hold fewer than k rows is taken again against all
+    blocks, so it gets k rows too, or all there are. Rows with null, zero or non-finite vectors,
+    a null id, or another length than most take no part; ties go to the smaller id; rows of equal
+    id and score count once.
     """
     spark = df.sparkSession
     rows, d, norm, n = _vectors(df, ident, vector)
     index = build(rows, d, norm, n, k)
     kind = "g int, codes array<long>, id long, x array<double>"
     data = cut(rows.mapInArrow(_place(index, False), kind), "index")
-    asked = rows.where(queries).mapInArrow(_place(index, True), kind)
-    blocks = data.groupBy("g").agg(F.ceil(F.sum(F.size("codes")) / BLOCK).cast("int").alias("blocks"))  # `groups` rows
-    sizes = {r["g"]: r["blocks"] for r in blocks.collect() if r["blocks"] > 1}
-    many = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv]), F.col("g")), F.lit(1)) if sizes else F.lit(1)
-    data = data.select("g", F.pmod(F.xxhash64("id"), many).cast("int").alias("salt"), F.lit(0).alias("side"), "codes", "id", "x")
-    asked = asked.select("g", F.explode(F.sequence(F.lit(0), many - 1)).alias("salt"), F.lit(1).alias("side"), "codes", "id", "x")
-    both = data.unionByName(asked).repartition("g", "salt").sortWithinPartitions("g", "salt", "side")
-    found = both.mapInArrow(_rank(k), T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())]))
-    found = found.distinct()
-    by = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    blocks = cut(data.groupBy("g").agg(F.ceil(F.sum(F.size("codes")) / BLOCK).cast("int").alias("blocks")), "blocks")  # `groups` rows at most
+    sized = F.broadcast(blocks) if index.groups <= MAPPED else blocks
+    data = data.join(sized, "g").select("g", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("salt"), F.lit(0).alias("side"), "codes", "id", "x")
+
+    def ranked(asked: DataFrame) -> DataFrame:
+        asked = asked.join(sized, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(1).alias("side"), "codes", "id", "x")
+        both = data.unionByName(asked).repartition("g", "salt").sortWithinPartitions("g", "salt", "side")
+        found = both.mapInArrow(_rank(k), T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())]))
+        by = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.distinct().withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    out = cut(ranked(rows.where(queries).mapInArrow(_place(index, True), kind)), "neighbours")
+    counts = out.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
+    few = cut(rows.where(queries).join(counts, "id", "left").where(F.coalesce("_n", F.lit(0)) < min(k, n - 1)).select("id", "x"), "few")
+    if few.isEmpty():
+        return out
+    again = few.select(F.explode(F.sequence(F.lit(0), F.lit(index.groups - 1))).alias("g"), F.array().cast("array<long>").alias("codes"), "id", "x")
+    return out.join(few.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(ranked(again))
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

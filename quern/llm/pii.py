@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, table
+from quern.llm.common import cut, stowed, table
 
 KINDS = ("email", "ip", "card", "phone")
 # Each finds the leftmost non-overlapping matches of the plain form given in the README. Look-behinds
@@ -143,6 +143,7 @@ def discover(spans: DataFrame, texts: DataFrame, seeds: int = SEEDS, confident:
     return new.groupBy("v").agg(F.max(F.struct("score", "kind"))["kind"].alias("kind"))
 
 
+@stowed("text")
 def scan(docs: DataFrame, text: str = "text", seeds: int = SEEDS, confident: float = CONFIDENT, rounds: int = ROUNDS) -> DataFrame:
     """docs without its text, with `base` and `spans`: arrays of (kind, start, end), by kind as listed, then start.
 

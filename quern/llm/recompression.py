@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import table
+from quern.llm.common import stowed, table
 from quern.llm.repeats import Hashes, Kind, merged, mix, removals
 
 #: Words of a window.
@@ -143,6 +143,7 @@ WORDS = Kind(
 )
 
 
+@stowed("text", "ident")
 def dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """docs with `n_words`, `cuts` (start, end pairs in words) and `kept` (the words that remain, one blank between, as bytes).
 

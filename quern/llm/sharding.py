@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from quern.llm.common import cut, table
+from quern.llm.common import cut, stowed, table
 
 SHARDS = 16
 #: Logical partitions of the exchange matrix: enough for wide clusters, and with SHARDS a bound on what the driver holds.
@@ -78,6 +78,7 @@ def _mix(seed: int, *cols: Column) -> Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
+@stowed("identity")
 def shard(df: DataFrame, identity: list[str], shards: int = SHARDS, seed: int = 17, partitions: int = PARTITIONS) -> DataFrame:
     """Add `shard` (0 to shards-1) and `slot` (gapless from 0 in its shard): a uniform random shuffle of all rows.
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, drop, table
+from quern.llm.common import cut, stowed, table
 from quern.llm.components import components
 from quern.llm.repeats import mix
 from quern.llm.words import spaced_words, text_bytes
@@ -46,6 +46,7 @@ def fingerprint(text: bytes, shingle: int, words: int = 1) -> np.ndarray:
     return np.packbits((2 * ones > len(starts)).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+@stowed("text")
 def with_fingerprint(docs: DataFrame, text: str, shingle: int, words: int = 1) -> DataFrame:
     """docs with long columns f0, f1 ... of the whole texts' fingerprints; null and blank texts have 0."""
     names = [f"f{k}" for k in range(words)]
@@ -280,10 +281,21 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 STAGE_SHINGLE, STAGE_WORDS, STAGE_RADIUS = 5, 4, 44
 
 
+@stowed("text", "ident")
+def dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = STAGE_SHINGLE, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS) -> DataFrame:
+    """One document of each group of near duplicates: the one of smallest id (null last; of equal ids one row).
+
+    Null and blank texts are one group; texts of under `shingle` words are near their equals only;
+    repeated rows are one group; an empty table gives an empty result. docs must give the same
+    rows when read again, as tables do.
+    """
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    slim = rows.select(F.col("_row").alias("row"), F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    slim = cut(with_fingerprint(slim, "text", shingle, words).drop("text"), "simhash")
+    kept = near_components(slim, radius).where(F.col("row") == F.col("first_row")).select(F.col("row").alias("_row"))
+    return rows.join(cut(kept, "kept"), "_row").drop("_row")
+
+
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of smallest doc_id (null last; of equal ids one row)."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())  # docs is a table: the same when read again
-    slim = rows.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    slim = cut(with_fingerprint(slim, "text", STAGE_SHINGLE, STAGE_WORDS).drop("text"), "simhash")
-    kept = near_components(slim, STAGE_RADIUS).where(F.col("row") == F.col("first_row")).select(F.col("row").alias("_row"))
-    return rows.join(cut(kept, "kept"), "_row").select(*docs.columns)
+    """One document of each group of near duplicates, texts whole."""
+    return dedup(docs)

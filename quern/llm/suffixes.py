@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import table
+from quern.llm.common import stowed, table
 from quern.llm.repeats import Hashes, Kind, merged, mix, removals
 
 #: Bytes of a string that may occur once only.
@@ -89,6 +89,7 @@ BYTES = Kind(
 )
 
 
+@stowed("text", "ident")
 def dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """docs with `cuts` (start, end pairs in UTF-8 bytes) and `kept` (the bytes that remain).
 

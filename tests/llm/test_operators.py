@@ -1,0 +1,521 @@
+"""Each operator's query against a brute-force version or its SQL, on awkward rows and on a small table."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from quern.llm import components, decontamination, licenses, mixing, neighbours, pii, queries, recompression, sharding, simhash, suffixes, toxicity
+
+from .conftest import SF, bag, in_sql, prose, read
+
+BLANK = re.compile(rb"[^\x20\x09-\x0D]+")
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+def ran(spark, name: str, folder: str) -> list[dict]:
+    return [r.asDict() for r in queries.queries()[name](spark, folder).collect()]
+
+
+def sha(b: bytes) -> str:
+    return hashlib.sha256(b).hexdigest()
+
+
+# ---- 1: suffixes
+
+
+def brute_bytes(docs: list[tuple]) -> list[dict]:
+    texts = [(i, (t or "").encode()) for i, t in docs]
+    seen = Counter(t[k : k + 200] for _, t in texts for k in range(len(t) - 199))
+    out = []
+    for i, t in texts:
+        gone = bytearray(len(t))
+        for k in range(len(t) - 199):
+            if seen[t[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        out.append({"doc_id": i, "n_bytes": len(t), "n_removed": sum(gone), "n_spans": len(re.findall(rb"\x01+", gone)), "kept_sha256": sha(bytes(x for x, g in zip(t, gone, strict=True) if not g))})
+    return out
+
+
+@pytest.mark.parametrize("where", ["small", "sf"])
+def test_suffixes(spark, small, where):
+    folder = small if where == "small" else SF
+    want = brute_bytes(read(folder))
+    assert bag(ran(spark, "op1_suffixes", folder), *want[0]) == bag(want, *want[0])
+    assert sum(r["n_removed"] for r in want) > 0
+
+
+def test_difference_cover_reaches_any_two_residues():
+    for a in range(suffixes.PERIOD):
+        for b in range(suffixes.PERIOD):
+            assert any((a + d) % suffixes.PERIOD in suffixes.COVER and (b + d) % suffixes.PERIOD in suffixes.COVER for d in range(suffixes.PERIOD))
+
+
+def test_sort_bucket_groups_equal_windows_alone():
+    rng = np.random.default_rng(0)
+    core = rng.integers(97, 100, 230).astype(np.uint8)
+    spans = [np.concatenate([rng.integers(97, 100, k).astype(np.uint8), core, rng.integers(97, 100, 9).astype(np.uint8)]) for k in (0, 3, 3, 40)] + [np.full(260, 97, np.uint8)]
+    anchors = np.array([10, 13, 13, 50, 5])
+    got = suffixes.sort_bucket(spans, anchors)
+    windows = [bytes(s[k : k + 200]) for s in spans[:4] for k in range(len(s) - 199)]
+    by = {}
+    for g, w in zip(got.tolist(), windows, strict=False):
+        assert by.setdefault(g, w) == w
+    assert len(by) == len(set(windows))
+
+
+# ---- 2: personal data
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d: str) -> bool:
+    return sum(x if k % 2 == 0 else 2 * x - 9 * (x > 4) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def plain_spans(t: str) -> list[tuple]:
+    out = []
+    for kind, p in PLAIN.items():
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 16 <= len(d) <= 19 and luhn(d) or kind == "phone" and 8 <= len(d) <= 15:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+@pytest.mark.parametrize("where", ["small", "sf"])
+def test_pii_base(spark, small, where):
+    folder = small if where == "small" else SF
+    want = []
+    for i, t in read(folder):
+        s = plain_spans(t or "")
+        want.append({"doc_id": i} | {f"n_{k}": sum(x[0] == k for x in s) for k in PLAIN} | {"base_sha256": sha(",".join(f"{a}:{b}:{c}" for a, b, c in s).encode())})
+    got = ran(spark, "op2_pii", folder)
+    assert bag(got, *want[0]) == bag(want, *want[0])
+    assert sum(r["n_email"] for r in want) > 0
+    by = {r["doc_id"]: r["spans"] for r in got if r["doc_id"] is not None}
+    for i, t in read(folder):  # base spans stay
+        if i is not None:
+            assert {f"{a}:{b}:{c}" for a, b, c in plain_spans(t or "")} <= set(by[i].split(","))
+
+
+def test_pii_base_on_random_strings(spark):
+    rng = random.Random(3)
+    alphabet = "0123456789..--  ++@@ab()_%é\U0001f600"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(5, 80))) for _ in range(3000)]
+    texts += ["4111-1111-1111-1111" + s for s in ("", "-", " 2", "0000", "--1")] + ["a@b.c_d@e.f", "a@b@c.d", "1.2.3.4.5.6.7.8", "001.2.3.0004", "1.2.3.99999999999999999999"]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: [tuple(s) for s in r["base"]] for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        assert got[k] == plain_spans(t), t
+
+
+def test_contexts_discover_identifiers(spark):
+    rows = [(k, f"{prose(8, k)} contact: user{k}@mail.example {prose(5, k + 50)}") for k in range(12)]
+    rows += [(100 + k, f"{prose(8, k + 100)} contact: handle-{7000 + k} {prose(5, k)}") for k in range(6)]
+    rows += [(200 + k, f"{prose(8, k + 200)} article handle-{9000 + k} {prose(5, k)}") for k in range(6)]
+    got = {r["doc_id"]: r["spans"] for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(6):
+        text = rows[12 + k][1]
+        at = text.index("handle-")
+        assert [(s["kind"], s["start"], s["end"]) for s in got[100 + k]] == [("email", at, at + 11)]
+        assert got[200 + k] == []
+
+
+# ---- 3: sharding
+
+
+@pytest.mark.parametrize("where", ["small", "sf"])
+def test_sharding_is_exact_and_whole(spark, small, where):
+    folder = small if where == "small" else SF
+    got = ran(spark, "op3_sharding", folder)
+    want = [{"doc_id": i, "size": len((t or "").encode()) + 1, "text_crc32": zlib.crc32((t or "").encode()), "law": "rows", "grown_shard": None} for i, t in read(folder)]
+    assert bag(got, *want[0]) == bag(want, *want[0])
+    counts = Counter(r["shard"] for r in got)
+    sizes = [counts.get(s, 0) for s in range(16)]
+    assert max(sizes) - min(sizes) <= 1
+    for s in range(16):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(counts.get(s, 0)))
+    if where == "sf":
+        assert bag(ran(spark, "op3_sharding", folder), "doc_id", "shard", "slot") == bag(got, "doc_id", "shard", "slot")
+
+
+def test_communication_matrix_and_its_draws():
+    counts = [7, 0, 19, 3, 1, 40]
+    m = sharding.communication_matrix(counts, 4, 5)
+    assert [sum(r) for r in m] == counts
+    columns = [sum(c) for c in zip(*m, strict=True)]
+    assert sum(columns) == 70 and max(columns) - min(columns) <= 1
+    rng = random.Random(1)
+    n, seen = 20_000, Counter()
+    for _ in range(n):
+        seen[sharding.hypergeometric(rng, 6, 9, 5)] += 1
+    for k in range(6):
+        p = math.comb(6, k) * math.comb(9, 5 - k) / math.comb(15, 5)
+        assert abs(seen[k] / n - p) < 4 * math.sqrt(p * (1 - p) / n) + 1e-3
+    assert sharding.hypergeometric(rng, 10**9, 10**10, 10**6) > 0
+
+
+# ---- 4: mixing
+
+
+@pytest.mark.parametrize("where", ["small", "sf"])
+def test_mixing_matches_sql(spark, small, where):
+    folder = small if where == "small" else SF
+    want = in_sql(folder, mixing.OP4_SQL)
+    assert bag(ran(spark, "op4_mixing", folder), *want[0]) == bag(want, *want[0])
+    assert all(r["taken"] <= 2 * r["size"] for r in want)
+
+
+def test_targets_are_the_fixpoint_of_resharing(spark):
+    rng = random.Random(2)
+    for case in range(4):
+        names = [*(f"s{k}" for k in range(rng.randrange(1, 9))), None]
+        sizes = {n: rng.choice([0, 1, 10, 100, 5000]) * rng.randrange(1, 9) for n in names}
+        weight = {n: (5, 2, 1)[k % 3] for k, n in enumerate(names)}
+        total, target, open_ = 1.5 * sum(sizes.values()), {}, set(names)
+        while open_:
+            level = (total - sum(target.values())) / sum(weight[n] for n in open_)
+            full = {n for n in open_ if level * weight[n] > 2 * sizes[n]}
+            if not full:
+                target |= {n: level * weight[n] for n in open_}
+                break
+            target |= {n: 2.0 * sizes[n] for n in full}
+            open_ -= full
+        got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame([(n, sizes[n]) for n in names], "source string, source_size long")).collect()}
+        assert got == pytest.approx(target), case
+
+
+def test_mix_emits_each_document_as_often_as_taken(spark, extra):
+    docs = spark.read.parquet(f"{extra}/documents.parquet")
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    per = {r["doc_id"]: (r["_copies"], r["n"]) for r in mixing.with_copies(docs).groupBy("doc_id").agg(F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("n")).collect()}
+    got = Counter(r["doc_id"] for r in out.collect())
+    assert {k: v[0] for k, v in per.items() if v[0]} == dict(got)
+
+
+# ---- 5: simhash
+
+
+def brute_fingerprint(text: str | None) -> int:
+    words = BLANK.findall((text or "").encode().translate(LOWER))
+    if not words:
+        return 0
+    h = [xxhash.xxh64_intdigest(b" ".join(words[k : k + 3]), 42) for k in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps: list[int], ids: list, radius: int) -> list:
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= radius:
+                root[find(a)] = find(b)
+    least = {}
+    for k, i in enumerate(ids):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return [least.get(find(k)) for k in range(len(fps))]
+
+
+@pytest.mark.parametrize("where", ["small", "sf"])
+def test_simhash(spark, small, where):
+    folder = small if where == "small" else SF
+    docs = read(folder)
+    fps = [brute_fingerprint(t) for _, t in docs]
+    roots = brute_components(fps, [i for i, _ in docs], 2)
+    want = [{"doc_id": i, "fingerprint": f"{f:016x}", "component_id": r} for (i, _), f, r in zip(docs, fps, roots, strict=True)]
+    assert bag(ran(spark, "op5_simhash", folder), *want[0]) == bag(want, *want[0])
+
+
+def test_close_pairs_and_block_pairs_find_every_link(spark):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    fps = list({b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(4))) for b in base for _ in range(12)})
+    i, j = simhash.close_pairs(np.array(fps, np.uint64)[:, None], 2)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= 2}
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    frame = spark.createDataFrame([(f,) for f in signed], "f0 long")
+    edges = simhash.links(frame, 2, simhash.exact_tables(2), block=5, few=3)  # buckets dealt as pairs of blocks
+    got = {r["node"]: r["root"] for r in components.components(edges).collect()}
+    want = brute_components(fps, list(range(len(fps))), 2)
+    groups = {}
+    for f, w in zip(signed, want, strict=True):
+        groups.setdefault(w, []).append(f)
+    for members in groups.values():
+        assert len({got.get(f, f) for f in members}) == 1
+    assert len({got.get(f, f) for f in signed}) == len(groups)
+
+
+def test_components_of_a_long_chain(spark):
+    order = list(range(300))
+    random.Random(5).shuffle(order)
+    edges = [(order[k], order[k + 1]) for k in range(299)] + [(1000, 1001), (1000, 1000)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len({got[k] for k in range(300)}) == 1 and got[1000] == got[1001] != got[0]
+
+
+def jaccard(a: str, b: str) -> float:
+    s = lambda t: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(max(1, len(w) - 4))}
+    return len(s(a) & s(b)) / max(1, len(s(a) | s(b)))
+
+
+def test_near_copies_go_and_others_stay(spark):
+    texts = [prose(220, k) for k in range(40)]
+    near = []
+    for k, t in enumerate(texts[:15]):
+        w = t.split()
+        for at in (30, 150):
+            w[at] = f"edit{k}"
+        near.append(" ".join(w))
+    half = [" ".join(t.split()[:110] + prose(110, 900 + k).split()) for k, t in enumerate(texts[15:30])]
+    assert min(jaccard(a, b) for a, b in zip(texts, near, strict=False)) > 0.8
+    rows = list(enumerate([*texts, *near, *half]))
+    got = sorted(r["doc_id"] for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [*range(40), *range(55, 70)]
+
+
+# ---- 6: licenses
+
+
+@pytest.mark.parametrize("where", ["small", "sf"])
+def test_licenses_match_sql(spark, small, where):
+    folder = small if where == "small" else SF
+    keys = "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    if where == "small":  # the SQL takes doc_id for a key
+        want = in_sql(folder, licenses.OP6_SQL.replace("FROM documents", "FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL)"))
+        got = list({r["doc_id"]: r for r in ran(spark, "op6_licenses", folder) if r["doc_id"] is not None}.values())
+    else:
+        want, got = in_sql(folder, licenses.OP6_SQL), ran(spark, "op6_licenses", folder)
+    assert bag(got, *keys) == bag(want, *keys)
+    assert any(r["labels"] != r["base_labels"] for r in want)
+
+
+# ---- 7: neighbours
+
+
+def vectors(tmp_path, rows):
+    pq.write_table(pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    return str(tmp_path)
+
+
+def brute_neighbours(rows: list[tuple]) -> dict[int, list[tuple]]:
+    fine = [(i, np.array(v, np.float64)) for i, v in rows if v and i is not None and None not in v and np.isfinite(v).all() and np.any(v)]
+    ids, x = np.array([i for i, _ in fine]), np.stack([v for _, v in fine])
+    out = {}
+    for i, v in fine:
+        if i % 20 == 0:
+            s = np.zeros(len(x))
+            for d in range(len(v)):
+                s += v[d] * x[:, d]
+            order = [k for k in np.lexsort((ids, -s)) if ids[k] != i][:20]
+            out[i] = [(int(ids[k]), float(s[k])) for k in order]
+    return out
+
+
+def test_neighbours_recall_scores_and_order(spark, tmp_path):
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    rows = list(zip(t.column("vec_id").to_pylist(), t.column("embedding").to_pylist(), strict=True))
+    want, got = brute_neighbours(rows), {}
+    for r in ran(spark, "op7_neighbours", "/root/testdata/sf0.1"):
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    found = sum(len({v for _, v, _ in got.get(q, [])} & {v for v, _ in w}) for q, w in want.items())
+    assert found >= 0.9 * sum(map(len, want.values()))
+    vec = {i: np.array(v, np.float64) for i, v in rows}
+    for q, g in got.items():
+        g.sort()
+        assert [r for r, _, _ in g] == list(range(1, len(g) + 1)) and len(g) == 20
+        assert [(-s, v) for _, v, s in g] == sorted((-s, v) for _, v, s in g)
+        assert all(s == pytest.approx(float(vec[q] @ vec[v]), rel=1e-12) for _, v, s in g)
+
+
+def test_neighbours_with_odd_vectors(spark, tmp_path):
+    rows = [(20, [1.0, 0.0]), (40, None), (60, [0.0, 0.0]), (80, [float("nan"), 1.0]), (100, [1.0, None]), (120, [float("inf"), 1.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [-1.0, 0.0]), (4, []), (None, [1.0, 1.0])]
+    got = ran(spark, "op7_neighbours", vectors(tmp_path, rows))
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(20, 1, 0.5), (20, 2, 0.5), (20, 3, -1.0)]
+
+
+def test_neighbours_among_many_copies(spark, tmp_path, monkeypatch):
+    """Blocks far smaller than the group of copies: it is salted, and still all of it is searched."""
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    rng = np.random.default_rng(1)
+    rows = [(k, [1.0, 2.0, 0.5]) for k in range(600)] + [(600 + k, rng.normal(size=3).tolist()) for k in range(200)]
+    want, got = brute_neighbours([(i, np.float32(v).tolist()) for i, v in rows]), {}
+    for r in ran(spark, "op7_neighbours", vectors(tmp_path, rows)):
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q in range(0, 600, 20):
+        assert [v for _, v in sorted(got[q])] == [v for v, _ in want[q]]
+
+
+# ---- 8: recompression
+
+
+def brute_words(docs: list[tuple]) -> list[dict]:
+    order = sorted(range(len(docs)), key=lambda k: (docs[k][0] is None, docs[k][0] or 0, k))
+    seen, out = set(), []
+    for k in order:
+        i, t = docs[k]
+        words = BLANK.findall((t or "").encode())
+        gone = [False] * len(words)
+        for a in range(len(words) - 19):
+            w = tuple(words[a : a + 20])
+            if w in seen:
+                gone[a : a + 20] = [True] * 20
+            seen.add(w)
+        out.append({"doc_id": i, "n_words": len(words), "n_removed": sum(gone), "kept_sha256": sha(b" ".join(w for w, g in zip(words, gone, strict=True) if not g))})
+    return out
+
+
+@pytest.mark.parametrize("where", ["small", "sf"])
+def test_recompression(spark, small, where):
+    folder = small if where == "small" else SF
+    want = brute_words(read(folder))
+    assert bag(ran(spark, "op8_recompression", folder), *want[0]) == bag(want, *want[0])
+    assert sum(r["n_removed"] for r in want) > 0
+
+
+def test_signatures_are_equal_for_equal_windows_alone():
+    rng = np.random.default_rng(2)
+    names = rng.integers(0, 1 << 63, 3).astype(np.uint64)
+    seq = names[np.concatenate([rng.integers(0, 3, 500), np.zeros(100, int), rng.integers(0, 2, 400)])]
+    left = np.arange(len(seq) - 12)
+    sig = recompression.signatures(seq, left, left + 12)
+    by, back = {}, {}
+    for a, s in zip(left.tolist(), sig.tolist(), strict=True):
+        w = seq[a : a + 12].tobytes()
+        assert by.setdefault(s, w) == w and back.setdefault(w, s) == s
+
+
+def test_buckets_of_many_spans_are_split_alike(spark, monkeypatch):
+    """With parts of a few spans, the result is the same as the brute-force one."""
+    from quern.llm import repeats
+
+    monkeypatch.setattr(repeats, "SPANS", 3)
+    core = prose(24, 77)
+    docs = [(k, f"{prose(6, k)} {core} {prose(6, 500 + k)}") for k in range(60)] + [(100 + k, f"{prose(6, k)} {core}") for k in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: bytes(r["kept"]) for r in recompression.dedup(frame).collect()}
+    assert {r["doc_id"]: r["kept_sha256"] for r in brute_words(docs)} == {k: sha(v) for k, v in got.items()}
+    want = brute_bytes(docs)
+    assert {r["doc_id"]: r["kept_sha256"] for r in want} == {r["doc_id"]: sha(bytes(r["kept"])) for r in suffixes.dedup(frame).collect()}
+
+
+# ---- 9: toxicity
+
+
+def test_toxicity_on_held_out_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    got = {r["doc_id"]: r for r in ran(spark, "op9_toxicity", folder)}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for i, r in got.items())
+    t = pq.read_table(f"{folder}/labels.parquet").to_pydict()
+    held = [(got[i]["score"], y) for i, y in zip(t["doc_id"], t["toxic"], strict=True) if y is not None and i in got and got[i]["held_out"]]
+    pos, neg = [s for s, y in held if y], [s for s, y in held if not y]
+    auc = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    assert auc > 0.9 and sum((s >= 0.5) == bool(y) for s, y in held) > 0.9 * len(held)
+
+
+def test_interactions_are_learnt():
+    """Neither word is a sign of the label; both together are."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    a, b = rng.random(n) < 0.5, rng.random(n) < 0.5
+    docs = [np.array(sorted({*([7] if x else []), *([9] if y else []), *(100 + rng.integers(0, 40, 5)).tolist()})) for x, y in zip(a, b, strict=True)]
+    labels = (a == b).astype(float)
+    m = toxicity.fit(docs, labels, errors=0.0)
+    right = sum((m.score(d) >= 0.5) == bool(y) for d, y in zip(docs, labels, strict=True))
+    assert right > 0.95 * n
+
+
+def test_toxicity_without_labels_and_on_odd_rows(spark, small, empty):
+    got = ran(spark, "op9_toxicity", small)
+    assert len(got) == len(read(small)) and all(0 <= r["score"] <= 1 for r in got)
+    assert ran(spark, "op9_toxicity", empty) == []
+
+
+# ---- 10: decontamination
+
+
+@pytest.mark.parametrize("where", ["small", "sf"])
+def test_decontamination(spark, small, where):
+    folder = small if where == "small" else SF
+    if where == "small":
+        items = pq.read_table(f"{folder}/benchmark.parquet").to_pydict()
+        windows = {}
+        word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+        for i, t in zip(items["item_id"], items["text"], strict=True):
+            w = word.findall((t or "").encode().translate(LOWER))
+            for k in range(max(1, len(w) - 9) if w else 0):
+                windows.setdefault(tuple(w[k : k + 10]), set()).add("null" if i is None else str(i))
+        want = []
+        for i, t in read(folder):
+            w = word.findall((t or "").encode().translate(LOWER))
+            hit, found = set(), set()
+            for k in range(len(w)):
+                for n in {len(x) for x in windows}:
+                    if ids := windows.get(tuple(w[k : k + n])) if k + n <= len(w) else None:
+                        hit |= set(range(k, k + n))
+                        found |= ids
+            want.append({"doc_id": i, "n_words": len(w), "n_hit": len(hit), "n_items": len(found), "items_sha256": sha(",".join(sorted(found)).encode()), "contaminated": bool(hit)})
+    else:
+        want = in_sql(folder, decontamination.OP10_SQL)
+    assert bag(ran(spark, "op10_decontamination", folder), *want[0]) == bag(want, *want[0])
+    assert any(r["contaminated"] for r in want)
+
+
+def test_benchmark_in_blocks(spark):
+    docs = spark.createDataFrame([(k, prose(60, k)) for k in range(8)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(prose(60, k).split()[20:45])) for k in range(5)] + [(9, prose(30, 99))], "item_id long, text string")
+    show = lambda d: sorted((r["doc_id"], tuple(r["hit_spans"]), tuple(r["item_ids"])) for r in d.collect())
+    assert show(decontamination.find_items(docs, bench, block=7)) == show(decontamination.find_items(docs, bench))
+
+
+# ---- all
+
+
+@pytest.mark.parametrize("name", [n for n in queries.queries() if n != "op7_neighbours"])
+def test_empty_tables(spark, empty, name):
+    assert ran(spark, name, empty) == []
+
+
+@pytest.mark.parametrize("name", [n for n in queries.queries() if n not in ("op7_neighbours", "op9_toxicity")])
+def test_further_columns_change_nothing(spark, small, extra, name):
+    a, b = ran(spark, name, small), ran(spark, name, extra)
+    assert bag(a, *a[0]) == bag(b, *b[0])
+
+
+def test_clashing_columns_go_through(spark, extra):
+    docs = spark.read.parquet(f"{extra}/documents.parquet")
+    model = toxicity.fit([], np.zeros(0))
+    made = {
+        "suffixes": suffixes.dedup(docs), "recompression": recompression.dedup(docs), "pii": pii.scan(docs), "licenses": licenses.scan(docs), "sharding": sharding.shard(docs, ["doc_id", "text"]),
+        "simhash": simhash.dedup(docs), "fingerprint": simhash.with_fingerprint(docs, "text", 3), "toxicity": toxicity.scored(docs, model), "items": decontamination.find_items(docs, spark.read.parquet(f"{extra}/benchmark.parquet")),
+    }
+    for name, out in made.items():
+        rows = out.collect()
+        assert name == "simhash" or len(rows) == docs.count(), name
+        assert {r["a.b"] for r in rows} == {"dot"} and len({r["_row"] for r in rows}) == len(rows), name
+    assert {r["Shard"] for r in made["pii"].collect()} == {"own"}
+    assert "Shard" not in made["sharding"].columns and {r["score"] for r in made["suffixes"].collect()} == {"own"}
