@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import cut, drop, release
 
 #: Symbols that are hashed at once, and distinct spans of a bucket above which it is split.
-CHUNK, SPANS = 1 << 18, 20_000
+CHUNK, SPANS = 1 << 18, 2_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: list[np.ndarray] = []
@@ -247,9 +247,10 @@ def removals(docs: DataFrame, kind: Kind) -> DataFrame:
     then row, then place stays; else all go.
     """
     runs = cut(docs.select("row", "doc", F.col("text").cast("binary")).mapInArrow(_emit_runs(kind), "row long, doc long, pos long, n short, lo short, a long, s long"), "runs")
-    often = runs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
+    # a table of its own, so that the join has plain exchanges on both sides, and a hot anchor's partition can be split
+    often = cut(runs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a"), "often")
     rep = cut(runs.join(often, "a"), "repeated")
-    drop(runs)
+    drop(runs, often)
     release(docs.sparkSession)
     me = F.struct(F.col("doc").isNull().alias("z"), "doc", "row", "pos")
     by_s = cut(rep.groupBy("a", "s").agg(F.count(F.lit(1)).alias("c"), F.min(me).alias("first"), F.first("n").alias("n"), F.first("lo").alias("lo")), "spans")
@@ -258,6 +259,7 @@ def removals(docs: DataFrame, kind: Kind) -> DataFrame:
         full = full.where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
     full = full.select("row", F.col("pos").alias("start"), (F.col("pos") + F.col("n") - 1 + kind.window).alias("end"))
     several = by_s.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPANS).cast("int").alias("parts"), F.count(F.lit(1)).alias("k")).where("k > 1").select("a", "parts")
+    several = cut(several, "several")
     wanted = by_s.join(several, "a").select(F.col("first.row").alias("row"), F.struct(F.col("first.pos").alias("pos"), "n", "lo", "a", "parts").alias("w"))
     wanted = wanted.groupBy("row").agg(F.collect_list("w").alias("w"))  # a text's own anchors
     spans = docs.join(wanted, "row").select("row", "doc", F.col("text").cast("binary"), "w").mapInArrow(_fetch(kind), "a long, sub int, parts int, row long, doc long, pos long, lo short, span binary")
@@ -265,7 +267,7 @@ def removals(docs: DataFrame, kind: Kind) -> DataFrame:
     part = spans.mapInArrow(_buckets(kind), "row long, start long, end long")
     every = full.unionByName(part).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
     out = cut(every, "cuts")
-    drop(rep, by_s)
+    drop(rep, by_s, several)
     release(docs.sparkSession)
     return out
 
