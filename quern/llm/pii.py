@@ -128,7 +128,8 @@ def discover(spans: DataFrame, texts: DataFrame, seeds: int = SEEDS, confident:
     edges = rows.where("p <> ''").groupBy("p", "v").agg(F.min("kind").alias("kind"))
     able = edges.groupBy("p").agg(F.count(F.lit(1)).alias("values"), F.count("kind").alias("seeded")).where(F.col("values") >= seeds)
     words = texts.select(F.explode(F.split(F.lower("t"), r"\s+")).alias("p"))
-    total = words.join(able.select("p"), "p").groupBy("p").agg(F.count(F.lit(1)).alias("total"))
+    # counted before the join: a task sends a word once, however often it has it
+    total = words.groupBy("p").agg(F.count(F.lit(1)).alias("total"))
     # a confident pattern has at least as many instances as its occurrences' share asks for
     able = cut(able.join(total, "p").where(F.col("values") >= F.col("total") * confident).select("p", "total"), "patterns")
     edges = cut(edges.join(able, "p"), "edges")
