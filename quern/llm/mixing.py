@@ -51,6 +51,7 @@ def with_copies(docs: DataFrame, text: str = "text", source: str = "source", ide
     d = docs.withColumn("_words", F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
     sizes = d.groupBy(F.col(source).alias("source")).agg(F.sum("_words").alias("source_size"))
     t = targets(sizes).select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    t = cut(t, "targets")  # of known size: below the broadcast threshold the texts are not shuffled
     d = d.join(t, d[source].eqNullSafe(t["_s"])).drop("_s")
     key = F.coalesce(F.col(ident).cast("string"), F.md5(F.col(text)), F.lit(""))
     return d.withColumn("_copies", copies(F.col("_target"), F.col("_source_size"), key, seed).cast("int"))
@@ -74,7 +75,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = docs.select("doc_id", "source", F.when(F.col("doc_id").isNull(), F.md5("text")).alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     slim = cut(slim, "mixing")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = targets(sizes).withColumnRenamed("source", "_s")
+    t = cut(targets(sizes).withColumnRenamed("source", "_s"), "targets")
     d = slim.join(t, slim["source"].eqNullSafe(t["_s"]))
     return d.select("doc_id", "size", "source_size", "target", (copies(F.col("target"), F.col("source_size"), F.coalesce(F.col("doc_id").cast("string"), "text_key", F.lit(""))) * F.col("size")).alias("taken"))
 
