@@ -227,14 +227,15 @@ def _compare(radius: int, few: int):
 def links(fps: DataFrame, radius: int, tables: list[np.ndarray], block: int = BLOCK, few: int = FEW) -> DataFrame:
     """Distinct fingerprints (columns f0, f1 ...) to (a, b) node ids: links that join whatever links within the radius join in the buckets.
 
-    Counts by bucket (combined before the shuffle) drop buckets of one; a bucket of over `block`
-    members is dealt as pairs of blocks, so that no task gets a bucket whole and each pair of
-    members meets in some block pair.
+    Counts by bucket (combined before the shuffle) tell the buckets of over `block` members; such a
+    bucket is dealt as pairs of blocks, so that no task gets it whole and each pair of members
+    meets in some block pair. The list of large buckets is a table of known size, so fingerprints
+    are shuffled once, to where they are compared, unless that list passes the broadcast threshold.
     """
     names = fps.columns
     keyed = fps.mapInArrow(_place(tables, len(names)), "t int, key long, " + ", ".join(f"{x} long" for x in names))
-    many = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    d = keyed.join(many, ["t", "key"]).withColumn("_n", F.ceil(F.col("n") / block).cast("int"))
+    large = cut(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "large")
+    d = keyed.join(large, ["t", "key"], "left").withColumn("_n", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
     d = d.withColumn("_c", F.pmod(F.xxhash64(F.lit(7), *names), F.col("_n")).cast("int"))
     others = F.when(F.col("_n") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda x: x != F.col("_c")))
     d = d.withColumn("_o", F.explode(others)).select("t", "key", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), *names)
