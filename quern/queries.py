@@ -16,13 +16,13 @@ from quern.operators import highlight, results
 from quern.operators.filters import Filters
 from quern.operators.index import DOCUMENT, Index, checksum, postings_of, wildcard
 from quern.sources import documents as sources
-from quern.storage import cut, table
+from quern.storage import cut, spread, table
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as source rows: language is the category, source the author, labels give tags, ids a date of 2024."""
     flags = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("x"))
-    d = table(spark, sf_dir, "documents").join(flags, "doc_id", "left")
+    d = spread(table(spark, sf_dir, "documents")).join(flags, "doc_id", "left")
     tags = F.array("lang", F.when(F.col("q") == 1, "quality"), F.when(F.col("x") == 1, "toxic"))
     return d.select(
         F.col("doc_id").alias("_id"), F.col("doc_id").cast("string").alias("external_id"), F.lit("text").alias("media_type"), F.col("text").alias("content"),
@@ -64,7 +64,7 @@ def scored(spark: SparkSession, sf_dir: str, query: str, filters: Filters = Filt
 
 
 def tokenize_counts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(analysis.tokenize(F.lower("text"))).alias("token"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(analysis.tokenize(F.lower("text"))).alias("token"))
     return d.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("df"))
 
 
@@ -96,7 +96,7 @@ def normalise_terms(spark, sf_dir):
 
 
 def length_stop_filter(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(analysis.terms(F.col("text"))).alias("t"))
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(analysis.terms(F.col("text"))).alias("t"))
     return d.select("doc_id", F.col("t.term").alias("term"), F.col("t.position").cast("long").alias("position"))
 
 
@@ -111,7 +111,7 @@ def porter_stems(spark, sf_dir):
 
 
 def stream_aggregates(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(analysis.terms(F.col("text"))).alias("t")).select("doc_id", "t.term", "t.position")
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode(analysis.terms(F.col("text"))).alias("t")).select("doc_id", "t.term", "t.position")
     g = d.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("frequency"), F.array_join(F.transform(F.array_sort(F.collect_list("position")), lambda x: x.cast("string")), ",").alias("positions"))
     return g
 
@@ -139,7 +139,7 @@ def parse_json_props(spark, sf_dir):
 
 
 def parse_html_pages(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("external_id"), F.lit("html").alias("media_type"), F.col("html").alias("content"), F.lit(None).cast("string").alias("title"), "url", F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("array<string>").alias("tags"), F.lit(None).cast("timestamp").alias("published_at"))
+    p = spread(table(spark, sf_dir, "pages")).select(F.col("page_id").cast("string").alias("external_id"), F.lit("html").alias("media_type"), F.col("html").alias("content"), F.lit(None).cast("string").alias("title"), "url", F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("array<string>").alias("tags"), F.lit(None).cast("timestamp").alias("published_at"))
     docs, _ = sources.parse(p)
     return docs.select(F.col("external_id").cast("long").alias("page_id"), "url", "title", "body")
 

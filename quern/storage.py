@@ -55,5 +55,11 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores (one large row group, say), dealt out to all of them; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
