@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm.common import cut, stowed, table
-from quern.llm.words import letter_words, text_bytes
+from quern.llm.words import letter_words, slices, text_bytes
 
 #: Words of a window.
 WINDOW = 10
@@ -40,7 +40,7 @@ def _frequencies(docs: DataFrame, text: str, words) -> dict[bytes, int]:
         import pyarrow as pa
 
         seen, have = Counter(), known.value
-        for b in batches:
+        for b in slices(batches):
             for t in text_bytes(b, "t"):
                 seen.update(filter(have.__contains__, letter_words(t)))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
@@ -69,7 +69,7 @@ def _pass(df: DataFrame, text: str, windows: dict[bytes, set[str]], often: dict[
 
         index, items_of = held.value
         rare = index.keys()
-        for b in batches:
+        for b in slices(batches):
             n_words, spans_out, items_out = [], [], []
             old_spans, old_items = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
             for t, spans, items in zip(text_bytes(b, text), old_spans, old_items, strict=True):

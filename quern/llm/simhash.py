@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import cut, stowed, table
 from quern.llm.components import components
 from quern.llm.repeats import mix
-from quern.llm.words import spaced_words, text_bytes
+from quern.llm.words import slices, spaced_words, text_bytes
 
 #: Members of a bucket that are compared as one block; larger buckets are dealt out as pairs of blocks.
 BLOCK = 1024
@@ -55,7 +55,7 @@ def with_fingerprint(docs: DataFrame, text: str, shingle: int, words: int = 1) -
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             texts = text_bytes(b, text)
             fps = np.stack([fingerprint(t, shingle, words) for t in texts]).view(np.int64) if texts else np.empty((0, words), np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(fps[:, k]) for k in range(words))], names=[*b.schema.names, *names])

@@ -18,6 +18,13 @@ def letter_words(text: bytes) -> list[bytes]:
     return text.translate(LETTERS).split()
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches cut into slices, so that few texts at once are Python objects."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def text_bytes(batch, column: str) -> list[bytes]:
     """A string column of an Arrow batch as UTF-8 bytes; null: empty."""
     import pyarrow as pa
