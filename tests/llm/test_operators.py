@@ -449,6 +449,20 @@ def test_interactions_are_learnt():
     assert right > 0.95 * n
 
 
+def test_interactions_are_learnt_by_default_among_other_terms():
+    """As train() fits: neither of two terms is a sign of the label, both together are, and held-out documents show it."""
+    rng = np.random.default_rng(4)
+
+    def made(n):
+        a, b = rng.random(n) < 0.5, rng.random(n) < 0.5
+        docs = [np.array(sorted({*([7] if x else []), *([9] if y else []), *(100 + rng.integers(0, 400, 20)).tolist()})) for x, y in zip(a, b, strict=True)]
+        return docs, (a == b).astype(float)
+
+    m = toxicity.fit(*made(3000))
+    docs, labels = made(1000)
+    assert m.seen[[7, 9]].all() and sum((m.score(d) >= 0.5) == bool(y) for d, y in zip(docs, labels, strict=True)) > 0.9 * len(docs)
+
+
 def test_toxicity_without_labels_and_on_odd_rows(spark, small, empty):
     got = ran(spark, "op9_toxicity", small)
     assert len(got) == len(read(small)) and all(0 <= r["score"] <= 1 for r in got)
