@@ -277,25 +277,172 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The corpus stage: five-word shingles, fingerprints of four words, and links at this many of 256 bits.
-#: Shingle sets of Jaccard similarity 0.8 stand at an angle of 0.475, which is 39 of 256 bits, give or take 6: two
-#: of these more still link. Texts that share a third of their shingles stand at 80, unrelated ones at 128.
-STAGE_SHINGLE, STAGE_WORDS, STAGE_RADIUS = 5, 4, 50
+#: The corpus stage: five-word shingles of Jaccard similarity 0.8 or more.
+STAGE_SHINGLE, STAGE_SIMILAR = 5, 0.8
+#: Candidates have fingerprints of four words that differ in this many of 256 bits at most. Sets of similarity 0.8 stand
+#: at an angle of 0.475, which is 39 bits, give or take 6: four of these more are still candidates. The random tables
+#: are as many as miss 1 % of the pairs at TABLE_RADIUS bits, far fewer of those at 39.
+STAGE_WORDS, STAGE_RADIUS, TABLE_RADIUS = 4, 64, 56
+#: Texts of fewer shingles have fingerprints too coarse for that; their candidates come from shared rare shingles, all of them.
+SHORT = 64
+#: Members and shingles that are verified as one block; larger groups are dealt out as pairs of blocks.
+VERIFIED, VERIFIED_SHINGLES = 1024, 1 << 20
+
+
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct XXH64 of the word shingles of a text (of all its words if it has fewer; none: empty), as signed longs."""
+    import xxhash
+
+    split = spaced_words(text)
+    got = {xxhash.xxh64_intdigest(b" ".join(split[k : k + shingle]), 42) for k in range(max(1, len(split) - shingle + 1) if split else 0)}
+    return np.sort(np.fromiter(got, np.uint64, len(got)).view(np.int64))
+
+
+def with_shingles(docs: DataFrame, text: str, shingle: int, limit: int | None = None) -> DataFrame:
+    """docs with `same` (a 128-bit hash of the words), `size` (distinct shingles) and `set` (their hashes; null where over `limit`)."""
+
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for b in slices(batches):
+            texts = text_bytes(b, text)
+            sets = [shingles(t, shingle) for t in texts]
+            same = [xxhash.xxh3_128_digest(b" ".join(spaced_words(t))) for t in texts]
+            size = [len(x) for x in sets]
+            sets = [None if limit is not None and len(x) > limit else x for x in sets]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], [*b.schema.names, "same", "size", "set"])
+
+    empty = [F.lit(None).cast(t).alias(n) for n, t in (("same", "binary"), ("size", "long"), ("set", "array<long>"))]
+    return docs.mapInArrow(run, docs.select("*", *empty).schema)
+
+
+def similar_pairs(sets: list[np.ndarray], side: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs whose sets have this Jaccard similarity at least; exact.
+
+    A set's intersections with all others are counted at once. Sets that are joined to all
+    others already, and pairs of sizes too different, need no count. Where two blocks stand
+    (`side` has two values), only pairs across them are counted; each block has its own turn.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    label = np.arange(n)
+    out_i, out_j = [], []
+    starts = np.cumsum(sizes) - sizes
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+    across = (side != side[0]).any()
+    for i in range(n - 1):
+        ok = (label != label[i]) & (np.arange(n) > i) & (np.minimum(sizes, sizes[i]) >= similar * np.maximum(sizes, sizes[i]) - 1e-9) & (sizes > 0)
+        if across:
+            ok &= side != side[i]
+        at = np.flatnonzero(ok)
+        if not len(at):
+            continue
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        marked[own] = True
+        ends = np.cumsum(sizes[at])
+        places = np.arange(ends[-1]) + np.repeat(starts[at] - (ends - sizes[at]), sizes[at])
+        both = np.add.reduceat(marked[flat[places]].astype(np.int64), ends - sizes[at])
+        marked[own] = False
+        for j in at[both >= similar * (sizes[i] + sizes[at] - both) - 1e-9].tolist():
+            if label[j] != label[i]:
+                out_i.append(i)
+                out_j.append(j)
+                label[label == label[j]] = label[i]
+    return np.array(out_i, np.int64), np.array(out_j, np.int64)
+
+
+def _verify(similar: float):
+    """Blocks, one after the other, from rows (group, i, j, c, row, set) that come sorted by block; a block may span batches."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def emit(rows, sides, sets):
+            rows = np.array(rows, np.int64)
+            i, j = similar_pairs(sets, np.array(sides), similar)
+            return pa.RecordBatch.from_arrays([pa.array(rows[i]), pa.array(rows[j])], ["a", "b"])
+
+        key, rows, sides, sets = None, [], [], []
+        for b in batches:
+            group = list(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
+            side, row, lists = b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5)
+            for k in range(b.num_rows):
+                if group[k] != key:
+                    if len(rows) > 1:
+                        yield emit(rows, sides, sets)
+                    key, rows, sides, sets = group[k], [], [], []
+                rows.append(row[k])
+                sides.append(side[k])
+                sets.append(lists[k].values.to_numpy())
+        if len(rows) > 1:
+            yield emit(rows, sides, sets)
+
+    return run
+
+
+def verified(groups: DataFrame, sets: DataFrame, similar: float, block: int = VERIFIED, load: int = VERIFIED_SHINGLES) -> DataFrame:
+    """(group, row, size) and (row, set) to links (a, b) of rows: forests of each group's pairs of this similarity."""
+    count = groups.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / load)).cast("int").alias("_n"), F.count(F.lit(1)).alias("_m"))
+    d = groups.join(count.where("_m > 1").drop("_m"), "group").withColumn("_c", F.pmod(F.xxhash64(F.lit(7), "row"), F.col("_n")).cast("int"))
+    d = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("group", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "_c", "row")
+    d = d.join(sets, "row").select("group", "i", "j", "_c", "row", "set")
+    d = d.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+    return d.mapInArrow(_verify(similar), "a long, b long").distinct()
+
+
+def rare_groups(texts: DataFrame, similar: float) -> DataFrame:
+    """(row, size, set) to (group, row, size): texts that share one of their rarest shingles. No pair of this similarity is missed.
+
+    In one order of all shingles, rarest first, two such sets share one of the first size - ceil(similar * size) + 1 of each.
+    """
+    each = texts.select("row", "size", F.explode("set").alias("group"))
+    often = each.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    mine = each.join(often, "group").groupBy("row").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "group"))).alias("s"))
+    # shingles of no other text come first and lead to nothing
+    left = F.col("size") - F.ceil(F.col("size") * similar - 1e-9) + 1 - (F.col("size") - F.size("s"))
+    return mine.where(left > 0).select("row", "size", F.explode(F.slice("s", F.lit(1), left.cast("int"))).alias("s")).select(F.col("s.group").alias("group"), "row", "size")
 
 
 @stowed("text", "ident")
-def dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = STAGE_SHINGLE, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = STAGE_SHINGLE, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, similar: float = STAGE_SIMILAR) -> DataFrame:
     """One document of each group of near duplicates: the one of smallest id (null last; of equal ids one row).
 
-    Null and blank texts are one group; texts of under `shingle` words are near their equals only;
-    repeated rows are one group; an empty table gives an empty result. docs must give the same
-    rows when read again, as tables do.
+    Near duplicates have sets of word shingles of Jaccard similarity `similar` at least, verified
+    on 64-bit hashes of the shingles; groups are what such pairs join. Null and blank texts are one
+    group; texts of under `shingle` words are near their equals only; repeated rows are one group;
+    an empty table gives an empty result. docs must give the same rows when read again, as tables do.
     """
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     slim = rows.select(F.col("_row").alias("row"), F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    slim = cut(with_fingerprint(slim, "text", shingle, words).drop("text"), "simhash")
-    kept = near_components(slim, radius).where(F.col("row") == F.col("first_row")).select(F.col("row").alias("_row"))
-    return rows.join(cut(kept, "kept"), "_row").drop("_row")
+    limit = int(SHORT / similar) + 1
+    slim = cut(with_shingles(with_fingerprint(slim, "text", shingle, words), "text", shingle, limit).drop("text"), "simhash")
+    names = [f"f{k}" for k in range(words)]
+    me = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
+    one = F.min(F.struct(me.alias("low"), "size", "set", *names)).alias("m")
+    texts = cut(slim.groupBy("same").agg(one).select("m.low", F.col("m.low.row").alias("row"), "m.size", "m.set", *[f"m.{x}" for x in names]), "texts")
+    # candidates: fingerprints that the tables bring together, and short texts with a rare shingle in common
+    prints = cut(texts.where(F.col("size") >= SHORT).select(*names).distinct(), "fingerprints")
+    tables = likely_tables(prints.count(), words, min(radius, TABLE_RADIUS))
+    roots = components(links(prints, radius, tables))
+
+    def ids(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            f = np.stack([c.to_numpy() for c in b.columns[2:]], 1).view(np.uint64) if b.num_rows else np.zeros((0, words), np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node(f), pa.int64())], ["row", "size", "node"])
+
+    long = texts.where(F.col("size") >= SHORT).select("row", "size", *names).mapInArrow(ids, "row long, size long, node long")
+    long = long.join(roots, "node", "left").select(F.coalesce("root", "node").alias("group"), "row", "size")
+    groups = cut(long.withColumn("group", F.struct(F.lit(0).alias("k"), "group")).unionByName(rare_groups(texts.where("set is not null"), similar).withColumn("group", F.struct(F.lit(1).alias("k"), "group"))), "groups")
+    groups = groups.withColumn("group", F.concat_ws(":", "group.k", "group.group"))
+    needed = groups.join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "group").select("row").distinct()
+    whole = rows.select(F.col("_row").alias("row"), F.col(text).alias("text")).join(needed, "row")
+    sets = cut(with_shingles(whole, "text", shingle).select("row", "set"), "sets")
+    joined = components(verified(groups, sets, similar))
+    lows = texts.select("row", "low").join(joined.withColumnRenamed("node", "row"), "row", "left").groupBy(F.coalesce("root", "row").alias("root")).agg(F.min("low").alias("low"))
+    return rows.join(cut(lows.select(F.col("low.row").alias("_row")), "kept"), "_row").drop("_row")
 
 
 def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -298,6 +298,35 @@ def test_near_copies_go_and_others_stay(spark):
     assert got == [*range(40), *range(55, 70)]
 
 
+def test_near_copies_are_verified_at_the_similarity(spark):
+    """Pairs just at 0.8 go, whether short or long; pairs of about 0.7 stay, however many link them."""
+    rows, gone = [], []
+
+    def add(a, b, near):
+        assert (jaccard(a, b) >= 0.8) == near, jaccard(a, b)
+        rows.extend([(len(rows), a), (len(rows) + 1, b)])
+        gone.extend([len(rows) - 1] if near else [])
+
+    for k in range(30):
+        w = [f"w{k}x{i}" for i in range(300)]
+        add(" ".join(w[:8]), " ".join([*w[:8], "more"]), True)  # 4 shingles of 5
+        add(" ".join(w[10:34]), " ".join(w[10:29]), False)  # 15 of 20
+        add(" ".join(w[40:140]), " ".join([*w[40:140], *(f"y{k}x{i}" for i in range(24))]), True)  # 96 of 120
+        add(" ".join(w[150:254]), " ".join([*w[150:254], *(f"z{k}x{i}" for i in range(40))]), False)  # 100 of 140
+    got = {r["doc_id"] for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i for i, _ in rows} - set(gone)
+
+
+def test_pairs_of_blocks_are_verified_alike(spark):
+    rng = random.Random(8)
+    base = [[rng.getrandbits(40) for _ in range(50)] for _ in range(4)]
+    sets = [sorted(set(b[rng.randrange(8) :])) for b in base for _ in range(10)]
+    frame = spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "row long, set array<long>")
+    groups = frame.select(F.lit("g").alias("group"), "row", F.size("set").cast("long").alias("size"))
+    parts = lambda **kw: len({r["root"] for r in components.components(simhash.verified(groups, frame, 0.8, **kw)).collect()})
+    assert parts() == parts(block=3) == parts(load=200) == 4
+
+
 # ---- 6: licenses
 
 
