@@ -193,12 +193,36 @@ def test_analysis(spark):
     assert plain.terms("PHP 8.4 released 2024; 2nd bm25") == ["php", "8.4", "released", "2024", "2", "nd", "bm25"]
 
 
-PAIRS = "documents document classes class queries queri less less indexing index ranked rank agreed agre stopping stop filing file happy happi relational relat normalization normal effectiveness effect sensibiliti sensibl hopeful hope goodness good cement cement adoption adopt probate probat controll control is is straße straße bm25 bm25".split()
+# Words and their stems by the published algorithm.
+STEMS = {
+    "documents": "document",
+    "classes": "class",
+    "queries": "queri",
+    "less": "less",
+    "indexing": "index",
+    "ranked": "rank",
+    "agreed": "agre",
+    "stopping": "stop",
+    "filing": "file",
+    "happy": "happi",
+    "relational": "relat",
+    "normalization": "normal",
+    "effectiveness": "effect",
+    "sensibiliti": "sensibl",
+    "hopeful": "hope",
+    "goodness": "good",
+    "cement": "cement",
+    "adoption": "adopt",
+    "probate": "probat",
+    "controll": "control",
+    "is": "is",
+    "straße": "straße",
+    "bm25": "bm25",
+}
 
 
 def test_stems_agree(spark):
-    words = dict(zip(PAIRS[::2], PAIRS[1::2], strict=True))
-    assert {w: porter.stem(w) for w in words} == words
+    assert {w: porter.stem(w) for w in STEMS} == STEMS
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     from pyspark.sql import functions as F
 
