@@ -6,12 +6,47 @@ import functools
 import inspect
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.storage import cut, drop, release, shared_dir, table
+from quern.storage import cut, drop, release, shared_dir
+from quern.storage import table as _table
 
-__all__ = ["cut", "drop", "release", "shared_dir", "stowed", "table"]
+__all__ = ["cut", "drop", "numbered", "release", "shared_dir", "small_batches", "stowed", "table"]
+
+#: Bytes of an Arrow batch to Python: with long texts the default of 10,000 rows or 64 MB is too much beside a batch's results.
+BATCH = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on, this session's Arrow batches to Python hold BATCH bytes at most (or one row); a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH if spark.conf.get(key).rstrip("b").isdigit() else True:
+        spark.conf.set(key, str(BATCH))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return _table(spark, sf_dir, name)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with `_file` and `_row`, two longs that together tell its rows apart, the same whenever it is read again.
+
+    Rows of files are known by their file (a hash of its path) and their place in it, whatever the
+    splits. Anything else than a selection from one file source is written once with its numbers.
+    """
+    small_batches(df.sparkSession)
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() == "LogicalRelation":
+        try:
+            return df.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        except AnalysisException:  # a source whose files have no such columns
+            pass
+    return cut(df.select("*", F.lit(0).cast("long").alias("_file"), F.monotonically_increasing_id().alias("_row")), "numbered")
 
 
 def stowed(*parameters: str) -> Callable:

@@ -1,126 +1,209 @@
-"""Benchmark decontamination: exact occurrences of item windows, found by their rarest word."""
+"""Benchmark decontamination: exact occurrences of item windows, by a prefix-filtered set join.
 
-from __future__ import annotations
+1. Items become windows, and windows shingles of GRAM words (a shorter window is one shingle).
+2. Shingles of any window are counted in all documents, which orders them by rarity. A window that
+   occurs has all its shingles in a document, so its rarest one is the prefix that must be there.
+3. Places of prefix shingles in documents are joined with the windows by that shingle; the shingle's
+   place in the window and the window's length say which words must stand about the place
+   (position and length bounds), and those are compared word by word.
+
+Both sides are tables of any size. What every task gets is a bit map of the shingles to look for, of
+MAP bits at most: it lets all of them through, and others the more, the more it holds; the joins are exact.
+"""
 
-from collections import Counter
-from collections.abc import Iterator
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quern.llm.common import cut, stowed, table
-from quern.llm.words import letter_words, slices, text_bytes
+from quern.llm.common import cut, numbered, stowed, table
+from quern.llm.recompression import word_names
+from quern.llm.repeats import Hashes, mix
+from quern.llm.words import LETTERS, letter_words, slices, text_bytes
 
-#: Words of a window.
-WINDOW = 10
-#: Windows that are held in memory at once; a larger benchmark is taken in blocks of so many, each against all documents.
-BLOCK = 200_000
+#: Words of a window, and of a shingle.
+WINDOW, GRAM = 10, 3
+#: Bits of a bit map at most (32 MB), bits that are set for a shingle, and bits of the map for each.
+MAP, PROBES, ROOM = 1 << 28, 3, 32
 
 
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str, window: int, block: int) -> Iterator[dict[bytes, set[str]]]:
-    """Window text to the ids of its items, a block at a time. The driver never holds more than a block and one item."""
-    held: dict[bytes, set[str]] = {}
-    for r in benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t")).toLocalIterator():
-        words = letter_words((r["t"] or "").encode())
-        for k in range(max(1, len(words) - window + 1) if words else 0):
-            held.setdefault(b" ".join(words[k : k + window]), set()).add(r["i"])
-            if len(held) >= block:
-                yield held
-                held = {}
-    if held:
-        yield held
+def shingles(names: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of each `gram` consecutive words, by the words' names."""
+    return mix(Hashes(names).every(gram) + np.uint64(gram)) if len(names) >= gram else np.empty(0, np.uint64)
 
 
-def _frequencies(docs: DataFrame, text: str, words) -> dict[bytes, int]:
-    """How often each of the (at most BLOCK x WINDOW) words of a block occurs in all documents."""
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(words))
+def _windows(window: int):
+    """Items (item, text) to (item, w, length, grams): window text, words, and its shingles' hashes."""
 
-    def count(batches):
+    def run(batches):
         import pyarrow as pa
 
-        seen, have = Counter(), known.value
         for b in slices(batches):
-            for t in text_bytes(b, "t"):
-                seen.update(filter(have.__contains__, letter_words(t)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
+            out: list[list] = [[], [], [], []]
+            for item, t in zip(b.column(0).to_pylist(), text_bytes(b, "text"), strict=True):
+                words, names = letter_words(t), word_names(t.translate(LETTERS))
+                n = min(window, len(words))
+                found = shingles(names, min(GRAM, n)).view(np.int64) if n else None
+                for k in range(len(words) - n + 1 if n else 0):
+                    for o, v in zip(out, (item, b" ".join(words[k : k + n]).decode(), n, found[k : k + n - min(GRAM, n) + 1]), strict=True):
+                        o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.list_(pa.int64()))], ["item", "w", "length", "grams"])
+
+    return run
+
+
+class BitMap:
+    """A set of 64-bit hashes that says yes to all it holds and, seldom, to others."""
+
+    def __init__(self, count: int):
+        bits = 1 << 16
+        while bits < min(MAP, count * ROOM):
+            bits *= 2
+        self.mask, self.bits = np.uint64(bits - 1), np.zeros(bits // 8, np.uint8)
+
+    def _places(self, x: np.ndarray):
+        for k in range(PROBES):
+            at = mix(x + np.uint64(k + 1)) & self.mask
+            yield (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+
+    def add(self, x: np.ndarray) -> None:
+        for byte, bit in self._places(x):
+            np.bitwise_or.at(self.bits, byte, bit)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Places in x of hashes that may be held."""
+        at = np.arange(len(x))
+        for k in range(PROBES):
+            h = mix(x[at] + np.uint64(k + 1)) & self.mask
+            at = at[(self.bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1]
+        return at
+
+
+def _bit_map(hashes: DataFrame) -> BitMap:
+    """Of a table's one column; the driver takes it batch by batch and holds the map alone."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()], pa.binary())], ["packed"])
 
-    out = docs.select(F.col(text).alias("t")).mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return {bytes(r["w"]): r["n"] for r in out.collect()}
+    out = BitMap(hashes.count())
+    for r in hashes.mapInArrow(pack, "packed binary").toLocalIterator():
+        out.add(np.frombuffer(r["packed"], np.uint64))
+    return out
 
 
-def _index(windows: dict[bytes, set[str]], often: dict[bytes, int]) -> dict[bytes, set[tuple[int, int]]]:
-    """Rarest word of each window (the prefix that exact containment needs) to its (place, window length) pairs."""
-    index: dict[bytes, set[tuple[int, int]]] = {}
-    for w in windows:
-        words = w.split(b" ")
-        at = min(range(len(words)), key=lambda k: (often.get(words[k], 0), words[k], k))
-        if all(often.get(x, 0) for x in words):  # a word that no document has: no document has the window
-            index.setdefault(words[at], set()).add((at, len(words)))
-    return index
+def _counts(held, lengths: list[int]):
+    """(text) to (gram, n): how often a batch has each shingle that the map lets through."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def _pass(df: DataFrame, text: str, windows: dict[bytes, set[str]], often: dict[bytes, int]) -> DataFrame:
-    """One block against all documents: widen the hit spans and item lists that the rows carry."""
-    held = df.sparkSession.sparkContext.broadcast((_index(windows, often), windows))
+        for b in batches:
+            found = [np.empty(0, np.uint64)]
+            for part in slices([b]):
+                for t in text_bytes(part, "text"):
+                    names = word_names(t.translate(LETTERS))
+                    for n in lengths:
+                        g = shingles(names, n)
+                        found.append(g[held.value.find(g)])
+            g, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n, pa.int64())], ["gram", "n"])
 
-    def search(batches):
+    return run
+
+
+def _places(held, lengths: list[int], window: int):
+    """(file, row, text) to (file, row, n_words, gram, lead, about): a row a text, and one for each place of a shingle with the words about it."""
+
+    def run(batches):
         import pyarrow as pa
 
-        index, items_of = held.value
-        rare = index.keys()
         for b in slices(batches):
-            n_words, spans_out, items_out = [], [], []
-            old_spans, old_items = b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-            for t, spans, items in zip(text_bytes(b, text), old_spans, old_items, strict=True):
-                words = letter_words(t)
-                n_words.append(len(words))
-                hits, found = list(zip(spans[::2], spans[1::2], strict=True)), set(items)
-                if not rare.isdisjoint(words):
-                    for p in (k for k, w in enumerate(words) if w in rare):
-                        for at, length in index[words[p]]:
-                            s = p - at
-                            if s < 0 or s + length > len(words):  # position and length bounds
-                                continue
-                            ids = items_of.get(b" ".join(words[s : s + length]))
-                            if ids:
-                                hits.append((s, s + length))
-                                found |= ids
-                flat: list[int] = []
-                for s, e in sorted(hits):
-                    if flat and s <= flat[-1]:
-                        flat[-1] = max(flat[-1], e)
-                    else:
-                        flat += (s, e)
-                spans_out.append(flat)
-                items_out.append(sorted(found))
-            new = [pa.array(n_words, pa.int64()), pa.array(spans_out, pa.list_(pa.int64())), pa.array(items_out, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-3], *new], names=b.schema.names)
-
-    return df.mapInArrow(search, T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema]))
+            take: list[int] = []
+            out: list[list] = [[], [], [], []]
+            for k, t in enumerate(text_bytes(b, "text")):
+                plain = t.translate(LETTERS)
+                names = word_names(plain)
+                take.append(k)
+                for o, v in zip(out, (len(names), None, None, None), strict=True):
+                    o.append(v)
+                words = None
+                for n in lengths:
+                    g = shingles(names, n)
+                    for p in held.value.find(g).tolist():
+                        words = words if words is not None else plain.split()
+                        a = max(0, p - window + 1)
+                        take.append(k)
+                        for o, v in zip(out, (None, int(g[p].view(np.int64)), p - a, (p, b" ".join(words[a : p + window]).decode())), strict=True):
+                            o.append(v)
+            take = pa.array(take, pa.int64())
+            place = pa.array([v and v[0] for v in out[3]], pa.int64())
+            about = pa.array([v and v[1] for v in out[3]], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), place, about], ["file", "row", "n_words", "gram", "lead", "place", "about"])
+
+    return run
+
+
+def _merged(spans: Column) -> Column:
+    """Sorted (start, end) spans to a flat array start, end, start, end ... of their union."""
+    put = lambda a, x: F.concat(a, F.array(x["start"], x["end"]))
+    widen = lambda a, x: F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.greatest(F.element_at(a, -1), x["end"])))
+    joins = lambda a, x: (F.size(a) > 0) & (x["start"] <= F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(-1)))
+    return F.aggregate(spans, F.array().cast("array<bigint>"), lambda a, x: F.when(joins(a, x), widen(a, x)).otherwise(put(a, x)))
+
+
+def search(rows: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_text: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """Numbered rows to (file, row, n_words), a row each, and (file, row, hit_spans, item_ids) of those that hold windows."""
+    spark = rows.sparkSession
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("text"))
+    windows = cut(items.mapInArrow(_windows(window), "item string, w string, length int, grams array<long>").distinct(), "windows")
+    texts = rows.select(F.col("_file").alias("file"), F.col("_row").alias("row"), F.col(text).alias("text"))
+    grams = cut(windows.select(F.explode("grams").alias("gram")).distinct(), "grams")
+    lengths = sorted(r[0] for r in windows.select(F.least("length", F.lit(GRAM))).distinct().collect())  # GRAM numbers at most
+    held = spark.sparkContext.broadcast(_bit_map(grams))
+    often = texts.select("text").mapInArrow(_counts(held, lengths), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    often = cut(often.join(grams, "gram", "left_semi"), "often")
+    each = windows.groupBy("w", "length").agg(F.first("grams").alias("grams")).select("w", "length", F.size("grams").alias("of"), F.posexplode("grams").alias("at", "gram"))
+    # a window one of whose shingles no document has does not occur; the rarest shingle of the others is their prefix
+    able = each.join(often, "gram").groupBy("w", "length", "of").agg(F.count(F.lit(1)).alias("have"), F.min(F.struct("n", "gram", "at")).alias("m")).where("have = of")
+    able = cut(able.select("w", "length", F.col("m.gram").alias("gram"), F.col("m.at").alias("at")), "prefixes")
+    prefix = spark.sparkContext.broadcast(_bit_map(able.select("gram").distinct()))
+    places = cut(texts.mapInArrow(_places(prefix, lengths, window), "file long, row long, n_words long, gram long, lead int, place long, about string"), "places")
+    start = F.col("lead") - F.col("at")
+    same = (start >= 0) & (F.array_join(F.slice(F.split("about", " "), F.greatest(start, F.lit(0)) + 1, F.col("length")), " ") == F.col("w"))
+    hits = places.where("gram is not null").join(able, "gram").where(same).select("file", "row", (F.col("place") - F.col("at")).alias("start"), "length", "w")
+    hits = cut(hits, "hits")
+    spans = hits.groupBy("file", "row").agg(_merged(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))))).alias("hit_spans"))
+    named = hits.select("file", "row", "w").distinct().join(windows.select("w", "item"), "w").groupBy("file", "row").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    return places.where("n_words is not null").select("file", "row", "n_words"), cut(spans.join(named, ["file", "row"]), "contaminated")
 
 
 @stowed("text")
-def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with n_words, hit_spans (flat word spans start, end, start, end ... merged) and item_ids (sorted) of benchmark windows.
 
-    A window is `window` consecutive words of an item, or all words of a shorter one. Words of a
-    block's windows are ordered by their count in all documents; containment of the whole window
-    makes one prefix word necessary, the rarest, so only places of such words are looked at, and
-    each is verified word by word. Null texts and items have no words, hence no hits; a null item
-    id is written "null"; repeated items count once; repeated documents are rows of their own.
-    Existing columns named like the results are replaced, others go through. A benchmark of over
-    `block` windows takes a pass over the documents for each block; nothing is cut off.
+    A window is `window` consecutive words of an item, or all words of a shorter one. Null texts
+    and items have no words, hence no hits; a null item id is written "null"; repeated items count
+    once; repeated documents are rows of their own. Existing columns named like the results are
+    replaced, others go through.
     """
-    docs = docs.drop("n_words", "hit_spans", "item_ids")
-    df = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("hit_spans"), F.array().cast("array<string>").alias("item_ids"))
-    done = 0
-    for windows in _blocks(benchmark, item_id, item_text, window, block):
-        if done:
-            df = cut(df, "decontamination")
-        often = _frequencies(docs, text, {x for w in windows for x in w.split(b" ")})
-        df, done = _pass(df, text, windows, often), done + 1
-    return df if done else _pass(df, text, {}, {})
+    rows = numbered(docs.drop("n_words", "hit_spans", "item_ids"))
+    counts, found = search(rows, benchmark, text, item_id, item_text, window)
+    key = [F.col("file").alias("_file"), F.col("row").alias("_row")]
+    out = rows.join(counts.select(*key, "n_words"), ["_file", "_row"]).join(found.select(*key, "hit_spans", "item_ids"), ["_file", "_row"], "left").drop("_file", "_row")
+    none = F.array().cast("array<bigint>"), F.array().cast("array<string>")
+    return out.withColumn("hit_spans", F.coalesce("hit_spans", none[0])).withColumn("item_ids", F.coalesce("item_ids", none[1]))
+
+
+@stowed("text")
+def without_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of docs that hold no benchmark window, as they are."""
+    rows = numbered(docs)
+    _, found = search(rows, benchmark, text, item_id, item_text, window)
+    return rows.join(found.select(F.col("file").alias("_file"), F.col("row").alias("_row")), ["_file", "_row"], "left_anti").drop("_file", "_row")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +222,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents free of benchmark windows."""
-    return find_items(docs, table(spark, sf_dir, "benchmark")).where(F.size("hit_spans") == 0).select(*docs.columns)
+    return without_items(docs, table(spark, sf_dir, "benchmark"))
 
 
 OP10_SQL = r"""

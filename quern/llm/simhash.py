@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -16,51 +15,51 @@ from quern.llm.words import slices, spaced_words, text_bytes
 
 #: Members of a bucket that are compared as one block; larger buckets are dealt out as pairs of blocks.
 BLOCK = 1024
-#: Blocks of fewer members are compared side by side; from here on bit-sliced.
-FEW = 128
+#: Blocks of fewer members are compared side by side in shared lanes; larger ones have lanes of their own.
+FEW = 64
+FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: bytes, shingle: int, words: int = 1) -> np.ndarray:
-    """Bit k is set where over half of the shingles' XXH64 (seed 42) have it. No words in the text: 0.
+def majority(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """Bit k is set where over half of the hashes have it. For more than 64 bits, further hashes are mixed from each."""
+    ones = np.zeros(64 * words, np.int64)
+    for k in range(0, len(hashes), 1 << 13):  # bounded for very long texts
+        h = hashes[k : k + (1 << 13)]
+        h = np.stack([h, *(mix(h + np.uint64(0x9E3779B97F4A7C15 * w & (1 << 64) - 1)) for w in range(1, words))], 1)
+        ones += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)
 
-    For more than 64 bits, further hashes of a shingle are mixed from its XXH64.
-    """
+
+def fingerprint(text: bytes, shingle: int) -> np.uint64:
+    """The majority of the shingles' XXH64 (seed 42), repeats included. No words in the text: 0."""
     import xxhash
 
     split = spaced_words(text)
     if not split:
-        return np.zeros(words, np.uint64)
+        return np.uint64(0)
     joined = b" ".join(split)
     digest = xxhash.xxh64_intdigest
     if len(split) <= shingle:
-        starts, stops = [0], [len(joined)]
-    else:
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        ends = np.cumsum(sizes + 1) - 1
-        starts, stops = (ends - sizes)[: len(split) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
-    ones = np.zeros(64 * words, np.int64)
-    for k in range(0, len(starts), 1 << 14):  # bounded for very long texts
-        h = np.array([digest(joined[i:j], 42) for i, j in zip(starts[k : k + (1 << 14)], stops[k : k + (1 << 14)], strict=True)], np.uint64)
-        h = np.stack([h, *(mix(h + np.uint64(0x9E3779B97F4A7C15 * w & (1 << 64) - 1)) for w in range(1, words))], 1)
-        ones += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits((2 * ones > len(starts)).astype(np.uint8), bitorder="little").view(np.uint64)
+        return majority(np.array([digest(joined, 42)], np.uint64))[0]
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    ends = np.cumsum(sizes + 1) - 1
+    starts, stops = (ends - sizes)[: len(split) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
+    return majority(np.fromiter((digest(joined[i:j], 42) for i, j in zip(starts, stops, strict=True)), np.uint64, len(starts)))[0]
 
 
 @stowed("text")
-def with_fingerprint(docs: DataFrame, text: str, shingle: int, words: int = 1) -> DataFrame:
-    """docs with long columns f0, f1 ... of the whole texts' fingerprints; null and blank texts have 0."""
-    names = [f"f{k}" for k in range(words)]
-    docs = docs.drop(*names)
+def with_fingerprint(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """docs with a long column f0, the whole text's fingerprint; null and blank texts have 0."""
+    docs = docs.drop("f0")
 
     def run(batches):
         import pyarrow as pa
 
         for b in slices(batches):
-            texts = text_bytes(b, text)
-            fps = np.stack([fingerprint(t, shingle, words) for t in texts]).view(np.int64) if texts else np.empty((0, words), np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(fps[:, k]) for k in range(words))], names=[*b.schema.names, *names])
+            fps = np.fromiter((fingerprint(t, shingle) for t in text_bytes(b, text)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, "f0"])
 
-    return docs.mapInArrow(run, docs.select("*", *[F.lit(None).cast("long").alias(x) for x in names]).schema)
+    return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("long").alias("f0")).schema)
 
 
 def exact_tables(radius: int) -> list[np.ndarray]:
@@ -72,18 +71,6 @@ def exact_tables(radius: int) -> list[np.ndarray]:
     return [np.concatenate(c) for c in combinations(parts, 2)]
 
 
-def likely_tables(count: int, words: int, radius: int, miss: float = 0.01) -> list[np.ndarray]:
-    """Bits of each table for wide fingerprints: random choices of about log2(count) - 5 bits, so that buckets keep a few dozen members.
-
-    So many tables that fingerprints at the radius miss each other in all of them with this chance
-    at most; nearer ones far more rarely.
-    """
-    bits = max(8, round(np.log2(max(count, 2))) - 5)
-    n = max(1, int(np.ceil(np.log(miss) / np.log(1 - (1 - radius / (64 * words)) ** bits))))
-    rng = np.random.default_rng(1)
-    return [np.sort(rng.choice(64 * words, bits, replace=False)) for _ in range(n)]
-
-
 def _place(tables: list[np.ndarray], words: int):
     """Fingerprints to their bucket in each table."""
 
@@ -100,57 +87,123 @@ def _place(tables: list[np.ndarray], words: int):
     return run
 
 
-def close_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of fingerprints (rows of 64-bit words) within the radius, by bit-sliced comparison.
-
-    Bit planes of all members stand in 64-bit lanes. For rows of the block at once, carry-save
-    counters take plane after plane; a counter that passes the radius sticks. Every eighth plane,
-    rows in which all lanes have passed are abandoned.
-    """
+def bit_planes(fps: np.ndarray) -> np.ndarray:
+    """Fingerprints (rows of 64-bit words) stood up: plane k holds bit k of every row, 64 rows a lane."""
     n, words = fps.shape
     lanes = -(-n // 64)
     planes = np.zeros((64 * words, lanes * 64), np.uint8)
+    planes[:, :n] = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little").T
+    return np.packbits(planes, axis=1, bitorder="little").view(np.uint64)
+
+
+def moved(planes: np.ndarray, by: int) -> np.ndarray:
+    """Planes in which row i + by stands at row i."""
+    q, r = divmod(by, 64)
+    out = np.zeros_like(planes)
+    out[:, : planes.shape[1] - q] = planes[:, q:] >> np.uint64(r)
+    if r:
+        out[:, : max(0, planes.shape[1] - q - 1)] |= planes[:, q + 1 :] << np.uint64(64 - r)
+    return out
+
+
+def _full(a, b, c):
+    """Full adder of three bit vectors: sum and carry."""
+    half = a ^ b
+    return half ^ c, (a & b) | (half & c)
+
+
+def within(differ, over: np.ndarray, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save counting of differing bits, 64 comparisons a lane. (blocks that are left, their lanes' pairs beyond the radius).
+
+    `over` (blocks, lanes) says what is no pair or beyond already; differ(k, blocks) gives eight
+    planes from k on of those blocks' differences. Eight planes go through seven full adders into
+    the counters' digits; then the counts are compared with the radius, bit-sliced too, and blocks
+    all of whose pairs have passed it are abandoned.
+    """
+    live = np.arange(len(over))
+    digits = [np.zeros_like(over) for _ in range(bits.bit_length())]
+    for k in range(0, bits, 8):
+        x = differ(k, live)
+        s1, c1 = _full(digits[0], x[0], x[1])
+        s2, c2 = _full(s1, x[2], x[3])
+        s3, c3 = _full(s2, x[4], x[5])
+        digits[0], c4 = _full(s3, x[6], x[7])
+        t1, d1 = _full(digits[1], c1, c2)
+        digits[1], d2 = _full(t1, c3, c4)
+        digits[2], carry = _full(digits[2], d1, d2)
+        for d in range(3, len(digits)):
+            carry, digits[d] = digits[d] & carry, digits[d] ^ carry
+        more, same = np.zeros_like(over), np.full_like(over, FULL)
+        for d in range(len(digits) - 1, -1, -1):
+            if radius >> d & 1:
+                same = same & digits[d]
+            else:
+                more |= same & digits[d]
+                same = same & ~digits[d]
+        over = over | more
+        left = (over != FULL).any(1)
+        if not left.all():
+            live, over, digits = live[left], over[left], [x[left] for x in digits]
+            if not len(live):
+                break
+    return live, over
+
+
+def close_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j of one block's fingerprints within the radius: each row against all lanes of the block."""
+    n, words = fps.shape
+    planes = bit_planes(fps)
     own_bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
-    planes[:, :n] = own_bits.T
-    planes = np.packbits(planes, axis=1, bitorder="little").view(np.uint64)
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    valid = np.packbits(np.arange(lanes * 64) < n, bitorder="little").view(np.uint64)
-    digits = (radius + 1).bit_length()
+    none = ~np.packbits(np.arange(planes.shape[1] * 64) < n, bitorder="little").view(np.uint64)
     out_i, out_j = [], []
     for r0 in range(0, n, 512):
-        rows = np.arange(r0, min(n, r0 + 512))
-        count = [np.zeros((len(rows), lanes), np.uint64) for _ in range(digits)]
-        over = np.broadcast_to(~valid, (len(rows), lanes)).copy()
-        for k in range(64 * words):
-            own = np.where(own_bits[rows, k], full, np.uint64(0))
-            carry = planes[k][None, :] ^ own[:, None]
-            for d in range(digits):
-                carry, count[d] = count[d] & carry, count[d] ^ carry
-            over |= carry
-            past = None  # a count of radius + 1 has passed, and is held by `over` from then on
-            for d in range(digits):
-                bit = count[d] if (radius + 1) >> d & 1 else ~count[d]
-                past = bit if past is None else past & bit
-            over |= past
-            if k % 8 == 7:
-                live = (over != full).any(1)
-                if not live.all():
-                    rows, over, count = rows[live], over[live], [c[live] for c in count]
-                    if not len(rows):
-                        break
-        if len(rows):
-            hit = np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")[:, :n]
-            i, j = np.nonzero(hit)
-            i = rows[i]
+        own = (own_bits[r0 : r0 + 512].astype(np.uint64) * FULL).T
+        differ = lambda k, live: planes[k : k + 8, None, :] ^ own[k : k + 8, live, None]  # noqa: E731, B023
+        live, over = within(differ, np.repeat(none[None, :], own.shape[1], 0), 64 * words, radius)
+        if len(live):
+            i, j = np.nonzero(np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")[:, :n])
+            i = live[i] + r0
             out_i.append(i[i < j])
             out_j.append(j[i < j])
-    if not out_i:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+    none = np.empty(0, np.int64)
+    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (none, none)
+
+
+def pairs_in_blocks(fps: np.ndarray, starts: np.ndarray, radius: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius of rows in one block (blocks stand one after the other), all bit-sliced.
+
+    Blocks of `few` rows or more are compared one by one. Smaller ones share lanes: all pairs at
+    one distance in the order of rows are compared at once, planes against the same planes moved.
+    """
+    size = np.diff(np.append(starts, len(fps)))
+    out_i, out_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for s, n in zip(starts[size >= few].tolist(), size[size >= few].tolist(), strict=True):
+        i, j = close_pairs(fps[s : s + n], radius)
+        out_i.append(s + i)
+        out_j.append(s + j)
+    own, stop = np.repeat(size, size), np.repeat(starts + size, size)
+    at, planes = np.arange(len(fps)), None
+    step, most = 1, int(size[size < few].max(initial=0))
+    while step < most:
+        if planes is None or step & (step - 1) == 0:  # rows of blocks that are done with leave their lanes
+            at = at[(own[at] > step) & (own[at] < few)]
+            planes = bit_planes(fps[at])
+        pair = np.zeros(planes.shape[1] * 64, bool)
+        pair[: max(0, len(at) - step)] = at[step:] < stop[at[:-step]] if len(at) > step else False
+        other = moved(planes, step)
+        differ = lambda k, live: (planes[k : k + 8, live] ^ other[k : k + 8, live])[:, :, None]  # noqa: E731, B023
+        live, over = within(differ, ~np.packbits(pair, bitorder="little").view(np.uint64)[:, None], 64 * fps.shape[1], radius)
+        if len(live):
+            lane, bit = np.nonzero(np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little"))
+            i = live[lane] * 64 + bit
+            out_i.append(at[i])
+            out_j.append(at[i + step])
+        step += 1
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the pairs: as many edges as members at most."""
+def labels_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n members the least member that the pairs join it to."""
     label = np.arange(n)
     while True:
         low = np.minimum(label[i], label[j])
@@ -159,8 +212,13 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray
         np.minimum.at(new, j, low)
         new = new[new]
         if (new == label).all():
-            break
+            return label
         label = new
+
+
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each component of the pairs: as many edges as members at most."""
+    label = labels_of(n, i, j)
     own = np.flatnonzero(label != np.arange(n))
     return own, label[own]
 
@@ -173,53 +231,46 @@ def node(fps: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def whole_blocks(batches, keys: int):
+    """Arrow batches of rows sorted by their first `keys` columns to lists of columns as arrays, cut where a block ends."""
+    rest = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if rest is not None:
+            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+        differs = np.zeros(len(cols[0]), bool)
+        for c in cols[:keys]:
+            differs |= c != c[-1]
+        differs = np.flatnonzero(differs)
+        whole = int(differs[-1]) + 1 if len(differs) else 0  # the last block may go on in the next batch
+        if whole:
+            yield [c[:whole] for c in cols]
+        rest = [c[whole:] for c in cols]
+    if rest is not None and len(rest[0]):
+        yield rest
+
+
+def block_starts(keys: list[np.ndarray]) -> np.ndarray:
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 def _compare(radius: int, few: int):
-    """Blocks, one after the other, from rows that come sorted by block; a block may span batches. Emits a spanning forest of each block's links."""
-
-    def links(fps: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = np.diff(np.append(starts, len(fps)))
-        out_i, out_j = [], []
-        for s, n in zip(starts[size >= few].tolist(), size[size >= few].tolist(), strict=True):
-            i, j = close_pairs(fps[s : s + n], radius)
-            i, j = forest(n, i, j)
-            out_i.append(s + i)
-            out_j.append(s + j)
-        last = np.repeat(starts + size, size)
-        last[np.repeat(size >= few, size)] = 0
-        at = np.arange(len(fps))
-        for step in range(1, few):  # small blocks side by side, all pairs at one distance at a time
-            at = at[at + step < last[at]]
-            if not len(at):
-                break
-            near = at[np.bitwise_count(fps[at] ^ fps[at + step]).sum(1) <= radius]
-            out_i.append(near + step)
-            out_j.append(near)
-        return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.empty(0, np.int64),) * 2
+    """Blocks, one after the other, from rows (t, key, i, j, f0 ...) that come sorted by block. Emits a spanning forest of each block's links."""
 
     def run(batches):
         import pyarrow as pa
 
-        def emit(k: np.ndarray, fps: np.ndarray):
-            starts = np.flatnonzero(np.append(True, (k[1:] != k[:-1]).any(1)))
-            i, j = forest(len(fps), *links(fps, starts))
+        for cols in whole_blocks(batches, 4):
+            fps = np.stack(cols[4:], 1).view(np.uint64)
+            i, j = forest(len(fps), *pairs_in_blocks(fps, block_starts(cols[:4]), radius, few))
             ids = node(fps)
-            return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
-
-        rest_k, rest_f = None, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            k = np.stack([c.to_numpy().astype(np.int64) for c in b.columns[:4]], 1)
-            f = np.stack([c.to_numpy() for c in b.columns[4:]], 1).view(np.uint64)
-            if rest_k is not None:
-                k, f = np.concatenate([rest_k, k]), np.concatenate([rest_f, f])
-            differs = np.flatnonzero((k != k[-1]).any(1))
-            whole = int(differs[-1]) + 1 if len(differs) else 0  # the last block may go on in the next batch
-            if whole:
-                yield emit(k[:whole], f[:whole])
-            rest_k, rest_f = k[whole:], f[whole:]
-        if rest_k is not None and len(rest_k):
-            yield emit(rest_k, rest_f)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
 
     return run
 
@@ -243,208 +294,22 @@ def links(fps: DataFrame, radius: int, tables: list[np.ndarray], block: int = BL
     return d.mapInArrow(_compare(radius, few), "a long, b long").distinct()
 
 
-def near_components(slim: DataFrame, radius: int, tables: list[np.ndarray] | None = None) -> DataFrame:
-    """(row, doc_id, f0 ...) to the same with component_id and first_row: the smallest doc_id that links reach, its own included, and a row that has it.
+def near_components(prints: DataFrame, radius: int) -> DataFrame:
+    """(doc_id, f0) to the same with component_id: the smallest doc_id that links reach, its own included.
 
     Equal fingerprints count as linked and are compared once. A null doc_id is the largest; a
     component of nulls alone has a null id.
     """
-    names = [c for c in slim.columns if re.fullmatch(r"f\d+", c)]
-    me = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
-    reps = cut(slim.groupBy(*names).agg(F.min(me).alias("low")), "fingerprints")
-    if tables is None:
-        tables = exact_tables(radius) if len(names) == 1 else likely_tables(reps.count(), len(names), radius)
-    roots = components(links(reps.select(*names), radius, tables))
-
-    def ids(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            f = np.stack([c.to_numpy() for c in b.columns], 1).view(np.uint64) if b.num_rows else np.zeros((0, len(names)), np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node(f), pa.int64())], [*names, "node"])
-
-    own = reps.select(*names).mapInArrow(ids, ", ".join(f"{x} long" for x in names) + ", node long") if len(names) > 1 else reps.select(*names, F.col(names[0]).alias("node"))
-    labels = reps.join(own, names).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    me = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id")
+    reps = cut(prints.groupBy("f0").agg(F.min(me).alias("low")), "fingerprints")
+    roots = components(links(reps.select("f0"), radius, exact_tables(radius)))
+    labels = reps.join(roots.withColumnRenamed("node", "f0"), "f0", "left").withColumn("root", F.coalesce("root", "f0"))
     lows = labels.groupBy("root").agg(F.min("low").alias("least"))
-    labels = labels.join(lows, "root").select(*names, F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("first_row"))
-    return slim.join(labels, names)
+    # a row a fingerprint: the join with all documents can be split where one fingerprint has many
+    return prints.join(cut(labels.join(lows, "root").select("f0", F.col("least.doc_id").alias("component_id")), "labels"), "f0")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    slim = cut(with_fingerprint(docs, "text", 3).select(F.lit(0).cast("long").alias("row"), "doc_id", "f0"), "simhash")
-    out = near_components(slim, 2)
+    out = near_components(cut(with_fingerprint(docs, "text", 3).select("doc_id", "f0"), "simhash"), 2)
     return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
-
-
-#: The corpus stage: five-word shingles of Jaccard similarity 0.8 or more.
-STAGE_SHINGLE, STAGE_SIMILAR = 5, 0.8
-#: Candidates have fingerprints of four words that differ in this many of 256 bits at most. Sets of similarity 0.8 stand
-#: at an angle of 0.475, which is 39 bits, give or take 6: four of these more are still candidates. The random tables
-#: are as many as miss 1 % of the pairs at TABLE_RADIUS bits, far fewer of those at 39.
-STAGE_WORDS, STAGE_RADIUS, TABLE_RADIUS = 4, 64, 56
-#: Texts of fewer shingles have fingerprints too coarse for that; their candidates come from shared rare shingles, all of them.
-SHORT = 64
-#: Members and shingles that are verified as one block; larger groups are dealt out as pairs of blocks.
-VERIFIED, VERIFIED_SHINGLES = 1024, 1 << 20
-
-
-def shingles(text: bytes, shingle: int) -> np.ndarray:
-    """Sorted distinct XXH64 of the word shingles of a text (of all its words if it has fewer; none: empty), as signed longs."""
-    import xxhash
-
-    split = spaced_words(text)
-    got = {xxhash.xxh64_intdigest(b" ".join(split[k : k + shingle]), 42) for k in range(max(1, len(split) - shingle + 1) if split else 0)}
-    return np.sort(np.fromiter(got, np.uint64, len(got)).view(np.int64))
-
-
-def with_shingles(docs: DataFrame, text: str, shingle: int, limit: int | None = None) -> DataFrame:
-    """docs with `same` (a 128-bit hash of the words), `size` (distinct shingles) and `set` (their hashes; null where over `limit`)."""
-
-    def run(batches):
-        import pyarrow as pa
-        import xxhash
-
-        for b in slices(batches):
-            texts = text_bytes(b, text)
-            sets = [shingles(t, shingle) for t in texts]
-            same = [xxhash.xxh3_128_digest(b" ".join(spaced_words(t))) for t in texts]
-            size = [len(x) for x in sets]
-            sets = [None if limit is not None and len(x) > limit else x for x in sets]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], [*b.schema.names, "same", "size", "set"])
-
-    empty = [F.lit(None).cast(t).alias(n) for n, t in (("same", "binary"), ("size", "long"), ("set", "array<long>"))]
-    return docs.mapInArrow(run, docs.select("*", *empty).schema)
-
-
-def similar_pairs(sets: list[np.ndarray], side: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs whose sets have this Jaccard similarity at least; exact.
-
-    A set's intersections with all others are counted at once. Sets that are joined to all
-    others already, and pairs of sizes too different, need no count. Where two blocks stand
-    (`side` has two values), only pairs across them are counted; each block has its own turn.
-    """
-    n, sizes = len(sets), np.array([len(x) for x in sets])
-    label = np.arange(n)
-    out_i, out_j = [], []
-    starts = np.cumsum(sizes) - sizes
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    marked = np.zeros(int(flat.max(initial=-1)) + 1, bool)
-    across = (side != side[0]).any()
-    for i in range(n - 1):
-        ok = (label != label[i]) & (np.arange(n) > i) & (np.minimum(sizes, sizes[i]) >= similar * np.maximum(sizes, sizes[i]) - 1e-9) & (sizes > 0)
-        if across:
-            ok &= side != side[i]
-        at = np.flatnonzero(ok)
-        if not len(at):
-            continue
-        own = flat[starts[i] : starts[i] + sizes[i]]
-        marked[own] = True
-        ends = np.cumsum(sizes[at])
-        places = np.arange(ends[-1]) + np.repeat(starts[at] - (ends - sizes[at]), sizes[at])
-        both = np.add.reduceat(marked[flat[places]].astype(np.int64), ends - sizes[at])
-        marked[own] = False
-        for j in at[both >= similar * (sizes[i] + sizes[at] - both) - 1e-9].tolist():
-            if label[j] != label[i]:
-                out_i.append(i)
-                out_j.append(j)
-                label[label == label[j]] = label[i]
-    return np.array(out_i, np.int64), np.array(out_j, np.int64)
-
-
-def _verify(similar: float):
-    """Blocks, one after the other, from rows (group, i, j, c, row, set) that come sorted by block; a block may span batches."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        def emit(rows, sides, sets):
-            rows = np.array(rows, np.int64)
-            i, j = similar_pairs(sets, np.array(sides), similar)
-            return pa.RecordBatch.from_arrays([pa.array(rows[i]), pa.array(rows[j])], ["a", "b"])
-
-        key, rows, sides, sets = None, [], [], []
-        for b in batches:
-            group = list(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True))
-            side, row, lists = b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5)
-            for k in range(b.num_rows):
-                if group[k] != key:
-                    if len(rows) > 1:
-                        yield emit(rows, sides, sets)
-                    key, rows, sides, sets = group[k], [], [], []
-                rows.append(row[k])
-                sides.append(side[k])
-                sets.append(lists[k].values.to_numpy())
-        if len(rows) > 1:
-            yield emit(rows, sides, sets)
-
-    return run
-
-
-def verified(groups: DataFrame, sets: DataFrame, similar: float, block: int = VERIFIED, load: int = VERIFIED_SHINGLES) -> DataFrame:
-    """(group, row, size) and (row, set) to links (a, b) of rows: forests of each group's pairs of this similarity."""
-    count = groups.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / load)).cast("int").alias("_n"), F.count(F.lit(1)).alias("_m"))
-    d = groups.join(count.where("_m > 1").drop("_m"), "group").withColumn("_c", F.pmod(F.xxhash64(F.lit(7), "row"), F.col("_n")).cast("int"))
-    d = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("group", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "_c", "row")
-    d = d.join(sets, "row").select("group", "i", "j", "_c", "row", "set")
-    d = d.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
-    return d.mapInArrow(_verify(similar), "a long, b long").distinct()
-
-
-def rare_groups(texts: DataFrame, similar: float) -> DataFrame:
-    """(row, size, set) to (group, row, size): texts that share one of their rarest shingles. No pair of this similarity is missed.
-
-    In one order of all shingles, rarest first, two such sets share one of the first size - ceil(similar * size) + 1 of each.
-    """
-    each = texts.select("row", "size", F.explode("set").alias("group"))
-    often = each.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    mine = each.join(often, "group").groupBy("row").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("n", "group"))).alias("s"))
-    # shingles of no other text come first and lead to nothing
-    left = F.col("size") - F.ceil(F.col("size") * similar - 1e-9) + 1 - (F.col("size") - F.size("s"))
-    return mine.where(left > 0).select("row", "size", F.explode(F.slice("s", F.lit(1), left.cast("int"))).alias("s")).select(F.col("s.group").alias("group"), "row", "size")
-
-
-@stowed("text", "ident")
-def dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id", shingle: int = STAGE_SHINGLE, words: int = STAGE_WORDS, radius: int = STAGE_RADIUS, similar: float = STAGE_SIMILAR) -> DataFrame:
-    """One document of each group of near duplicates: the one of smallest id (null last; of equal ids one row).
-
-    Near duplicates have sets of word shingles of Jaccard similarity `similar` at least, verified
-    on 64-bit hashes of the shingles; groups are what such pairs join. Null and blank texts are one
-    group; texts of under `shingle` words are near their equals only; repeated rows are one group;
-    an empty table gives an empty result. docs must give the same rows when read again, as tables do.
-    """
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    slim = rows.select(F.col("_row").alias("row"), F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    limit = int(SHORT / similar) + 1
-    slim = cut(with_shingles(with_fingerprint(slim, "text", shingle, words), "text", shingle, limit).drop("text"), "simhash")
-    names = [f"f{k}" for k in range(words)]
-    me = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
-    one = F.min(F.struct(me.alias("low"), "size", "set", *names)).alias("m")
-    texts = cut(slim.groupBy("same").agg(one).select("m.low", F.col("m.low.row").alias("row"), "m.size", "m.set", *[f"m.{x}" for x in names]), "texts")
-    # candidates: fingerprints that the tables bring together, and short texts with a rare shingle in common
-    prints = cut(texts.where(F.col("size") >= SHORT).select(*names).distinct(), "fingerprints")
-    tables = likely_tables(prints.count(), words, min(radius, TABLE_RADIUS))
-    roots = components(links(prints, radius, tables))
-
-    def ids(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            f = np.stack([c.to_numpy() for c in b.columns[2:]], 1).view(np.uint64) if b.num_rows else np.zeros((0, words), np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node(f), pa.int64())], ["row", "size", "node"])
-
-    long = texts.where(F.col("size") >= SHORT).select("row", "size", *names).mapInArrow(ids, "row long, size long, node long")
-    long = long.join(roots, "node", "left").select(F.coalesce("root", "node").alias("group"), "row", "size")
-    groups = cut(long.withColumn("group", F.struct(F.lit(0).alias("k"), "group")).unionByName(rare_groups(texts.where("set is not null"), similar).withColumn("group", F.struct(F.lit(1).alias("k"), "group"))), "groups")
-    groups = groups.withColumn("group", F.concat_ws(":", "group.k", "group.group"))
-    needed = groups.join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "group").select("row").distinct()
-    whole = rows.select(F.col("_row").alias("row"), F.col(text).alias("text")).join(needed, "row")
-    sets = cut(with_shingles(whole, "text", shingle).select("row", "set"), "sets")
-    joined = components(verified(groups, sets, similar))
-    lows = texts.select("row", "low").join(joined.withColumnRenamed("node", "row"), "row", "left").groupBy(F.coalesce("root", "row").alias("root")).agg(F.min("low").alias("low"))
-    return rows.join(cut(lows.select(F.col("low.row").alias("_row")), "kept"), "_row").drop("_row")
-
-
-def stage_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, texts whole."""
-    return dedup(docs)

@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quern.llm import components, decontamination, licenses, mixing, neighbours, pii, queries, recompression, sharding, simhash, suffixes, toxicity
+from quern.llm import components, decontamination, licenses, mixing, neardup, neighbours, pii, queries, recompression, sharding, simhash, suffixes, toxicity
 
 from .conftest import SF, bag, in_sql, prose, read
 
@@ -169,7 +169,24 @@ def test_communication_matrix_and_its_draws():
     for k in range(6):
         p = math.comb(6, k) * math.comb(9, 5 - k) / math.comb(15, 5)
         assert abs(seen[k] / n - p) < 4 * math.sqrt(p * (1 - p) / n) + 1e-3
-    assert sharding.hypergeometric(rng, 10**9, 10**10, 10**6) > 0
+    for good, bad, draws in ((6, 9, 5), (10**9 // 16, 10**9 - 10**9 // 16, 10**6), (10**11 // 16, 10**11 - 10**11 // 16, 10**8), (5 * 10**10, 5 * 10**10, 10**5), (3, 10**11, 10**10)):
+        mean = draws * (good / (good + bad))
+        reach = int(9 * math.sqrt(mean) + 9)
+        at = range(max(0, draws - bad, int(mean) - reach), min(good, draws, int(mean) + reach) + 1)
+        assert abs(math.fsum(math.exp(sharding.log_probability(good, bad, draws, x)) for x in at) - 1) < 1e-9
+        got = [sharding.hypergeometric(rng, good, bad, draws) for _ in range(200)]
+        assert abs(sum(got) / 200 - mean) < 5 * math.sqrt(mean / 200) + 0.1
+    for x in range(6):
+        assert math.exp(sharding.log_probability(6, 9, 5, x)) == pytest.approx(math.comb(6, x) * math.comb(9, 5 - x) / math.comb(15, 5), rel=1e-12)
+
+
+def test_repeated_rows_have_different_homes(spark):
+    docs = spark.createDataFrame([(1, "same")] * 3000 + [(k, f"t{k}") for k in range(100)], "doc_id long, text string")
+    got = sharding.shard(docs, ["doc_id", "text"]).collect()
+    sizes = Counter(r["shard"] for r in got)
+    assert len(got) == 3100 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert len({(r["shard"], r["slot"]) for r in got}) == 3100
+    assert max(Counter(r["shard"] for r in got if r["doc_id"] == 1).values()) < 250
 
 
 # ---- 4: mixing
@@ -294,7 +311,7 @@ def test_near_copies_go_and_others_stay(spark):
     half = [" ".join(t.split()[:110] + prose(110, 900 + k).split()) for k, t in enumerate(texts[15:30])]
     assert min(jaccard(a, b) for a, b in zip(texts, near, strict=False)) > 0.8
     rows = list(enumerate([*texts, *near, *half]))
-    got = sorted(r["doc_id"] for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    got = sorted(r["doc_id"] for r in neardup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [*range(40), *range(55, 70)]
 
 
@@ -313,7 +330,7 @@ def test_near_copies_are_verified_at_the_similarity(spark):
         add(" ".join(w[10:34]), " ".join(w[10:29]), False)  # 15 of 20
         add(" ".join(w[40:140]), " ".join([*w[40:140], *(f"y{k}x{i}" for i in range(24))]), True)  # 96 of 120
         add(" ".join(w[150:254]), " ".join([*w[150:254], *(f"z{k}x{i}" for i in range(40))]), False)  # 100 of 140
-    got = {r["doc_id"] for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"] for r in neardup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i for i, _ in rows} - set(gone)
 
 
@@ -321,12 +338,52 @@ def test_pairs_of_blocks_are_verified_alike(spark):
     rng = random.Random(8)
     base = [[rng.getrandbits(40) for _ in range(50)] for _ in range(4)]
     sets = [sorted(set(b[rng.randrange(8) :])) for b in base for _ in range(10)]
-    frame = spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "row long, set array<long>")
-    groups = frame.select(F.lit("g").alias("group"), "row", F.size("set").cast("long").alias("size"))
-    parts = lambda **kw: len({r["root"] for r in components.components(simhash.verified(groups, frame, 0.8, **kw)).collect()})
+    frame = spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "id long, set array<long>")
+    groups = frame.select(F.lit(1).cast("long").alias("group"), "id")
+    parts = lambda **kw: len({r["root"] for r in components.components(neardup.verified(groups, frame, 0.8, **kw)).collect()})
     assert parts() == parts(block=3) == parts(load=200) == 4
 
 
+def test_bit_slices_find_every_pair_of_a_block():
+    rng = np.random.default_rng(0)
+    for words, radius in ((1, 2), (4, 72)):
+        sizes = [2, 3, 5, 1, 70, 9, 63, 64, 200, 2, 2, 1]
+        fps = []
+        for n in sizes:
+            base = rng.integers(0, 1 << 63, words).astype(np.uint64)
+            for _ in range(n):
+                f = base.copy()
+                for b in rng.integers(0, 64 * words, rng.integers(0, 3 if words == 1 else 50)):
+                    f[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+                fps.append(f)
+        fps, starts = np.array(fps), np.cumsum([0, *sizes[:-1]])
+        i, j = simhash.pairs_in_blocks(fps, starts, radius)
+        near = lambda a, b: int(np.bitwise_count(fps[a] ^ fps[b]).sum()) <= radius  # noqa: E731, B023
+        want = {(a, b) for s, n in zip(starts.tolist(), sizes, strict=True) for a in range(s, s + n) for b in range(a + 1, s + n) if near(a, b)}
+        assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(want) and len(want) > 1000
+
+
+def test_large_buckets_of_near_copies_lose_no_link(spark):
+    """Two clusters that share their keys' shingles and texts apart, in buckets far over a block."""
+    w = prose(300, 77).split()
+    rows = [(k, " ".join([*w[:60], f"own{k}", *w[60:]])) for k in range(40)]
+    rows += [(100 + k, " ".join([*w[:250], *prose(60, 500).split(), f"far{k}"])) for k in range(12)]
+    rows += [(200 + k, prose(120, 800 + k)) for k in range(10)]
+    got = {r["doc_id"] for r in neardup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), block=4).collect()}
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, a) in enumerate(rows):
+        for j, b in rows[:k]:
+            if jaccard(a, b) >= 0.8 and find(i) != find(j):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == {find(i) for i, _ in rows}
+
+
 # ---- 6: licenses
 
 
@@ -466,6 +523,35 @@ def test_toxicity_on_held_out_labels(spark):
     assert auc > 0.9 and sum((s >= 0.5) == bool(y) for s, y in held) > 0.9 * len(held)
 
 
+def test_scores_are_the_sum_over_all_pairs(spark):
+    """The query's scores, from the model's numbers term by term and pair by pair."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    rows = [*read(SF)[:60], (-1, None), (-2, ""), (-3, "ÄÖ " * 50)]
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert model.seen.any() and (model.v != 0).any()
+    for i, t in rows:
+        words = set(re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(LOWER)))
+        ids = sorted({zlib.crc32(x) & (1 << toxicity.BITS) - 1 for w in words for x in (w, *(b"^" + w[:k] for k in toxicity.PREFIXES if len(w) > k))})
+        x = model.bias + sum(float(model.w[a]) for a in ids)
+        v = model.v[ids].astype(float)
+        x += sum(float(v[a] @ v[b]) for a in range(len(ids)) for b in range(a) if v[a].any() and v[b].any())
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-x)), abs=1e-4)
+
+
+def test_repeated_ids_give_the_sample_one_row(spark):
+    docs = spark.createDataFrame([(k % 5, f"text number {k}") for k in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id long, toxic int")
+    taken = []
+    real = toxicity.fit
+    toxicity.fit = lambda d, y, **kw: taken.append(len(d)) or real(d, y, **kw)
+    try:
+        toxicity.train(docs, labels)
+    finally:
+        toxicity.fit = real
+    assert taken[0] <= 5
+
+
 def test_interactions_are_learnt():
     """Neither word is a sign of the label; both together are."""
     rng = np.random.default_rng(3)
@@ -473,7 +559,7 @@ def test_interactions_are_learnt():
     a, b = rng.random(n) < 0.5, rng.random(n) < 0.5
     docs = [np.array(sorted({*([7] if x else []), *([9] if y else []), *(100 + rng.integers(0, 40, 5)).tolist()})) for x, y in zip(a, b, strict=True)]
     labels = (a == b).astype(float)
-    m = toxicity.fit(docs, labels, errors=0.0)
+    m = toxicity.fit(docs, labels)
     right = sum((m.score(d) >= 0.5) == bool(y) for d, y in zip(docs, labels, strict=True))
     assert right > 0.95 * n
 
@@ -528,11 +614,26 @@ def test_decontamination(spark, small, where):
     assert any(r["contaminated"] for r in want)
 
 
-def test_benchmark_in_blocks(spark):
-    docs = spark.createDataFrame([(k, prose(60, k)) for k in range(8)], "doc_id long, text string")
-    bench = spark.createDataFrame([(k, " ".join(prose(60, k).split()[20:45])) for k in range(5)] + [(9, prose(30, 99))], "item_id long, text string")
-    show = lambda d: sorted((r["doc_id"], tuple(r["hit_spans"]), tuple(r["item_ids"])) for r in d.collect())
-    assert show(decontamination.find_items(docs, bench, block=7)) == show(decontamination.find_items(docs, bench))
+def test_bit_map_lets_all_it_holds_through():
+    rng = np.random.default_rng(3)
+    held, others = (rng.integers(0, 1 << 63, 50_000).astype(np.uint64) for _ in range(2))
+    m = decontamination.BitMap(1)  # the least map, far too small
+    m.add(held)
+    assert len(m.find(held)) == len(held)
+    m = decontamination.BitMap(len(held))
+    m.add(held)
+    assert len(m.find(held)) == len(held) and len(m.find(others)) < 0.002 * len(others)
+
+
+def test_windows_that_many_documents_share(spark):
+    passage, other = prose(40, 1000), prose(30, 1001)
+    docs = [(k, f"{prose(15, k)} {passage if k % 3 else other} {prose(15, k + 100)}") for k in range(30)]
+    bench = [(1, passage), (2, " ".join(passage.split()[5:20])), (3, " ".join(other.split()[:9])), (4, " ".join(other.split()[:2])), (5, prose(30, 99))]
+    found = decontamination.find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    for r in found.collect():
+        assert r["hit_spans"][:2] == ([15, 55] if r["doc_id"] % 3 else [15, 24]) and r["item_ids"][:2] == (["1", "2"] if r["doc_id"] % 3 else ["3", "4"])
+    kept = decontamination.without_items(spark.createDataFrame([*docs, (99, prose(50, 5000)), (99, prose(50, 5000)), (None, None)], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 99, 99]
 
 
 # ---- all
@@ -554,7 +655,7 @@ def test_clashing_columns_go_through(spark, extra):
     model = toxicity.fit([], np.zeros(0))
     made = {
         "suffixes": suffixes.dedup(docs), "recompression": recompression.dedup(docs), "pii": pii.scan(docs), "licenses": licenses.scan(docs), "sharding": sharding.shard(docs, ["doc_id", "text"]),
-        "simhash": simhash.dedup(docs), "fingerprint": simhash.with_fingerprint(docs, "text", 3), "toxicity": toxicity.scored(docs, model), "items": decontamination.find_items(docs, spark.read.parquet(f"{extra}/benchmark.parquet")),
+        "simhash": neardup.dedup(docs), "fingerprint": simhash.with_fingerprint(docs, "text", 3), "toxicity": toxicity.scored(docs, model), "items": decontamination.find_items(docs, spark.read.parquet(f"{extra}/benchmark.parquet")),
     }
     for name, out in made.items():
         rows = out.collect()
