@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quern.llm.common import cut, table
 from quern.llm.decontamination import stage_decontamination
 from quern.llm.mixing import stage_mixing
+from quern.llm.neardup import stage_simhash
 from quern.llm.sharding import stage_sharding
-from quern.llm.simhash import stage_simhash
 from quern.llm.toxicity import stage_toxicity
 
 STAGES = [
