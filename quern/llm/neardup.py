@@ -110,10 +110,9 @@ def _group(radius: int):
         for cols in whole_blocks(batches, 2):
             ids, late = cols[3], cols[2].astype(bool)
             starts = block_starts(cols[:2])
-            i, j = pairs_in_blocks(np.stack(cols[4:], 1).view(np.uint64), starts, radius)
-            second = np.repeat(np.logical_or.reduceat(late, starts), np.diff(np.append(starts, len(ids))))
-            ok = (late[i] | late[j] | ~second[i]) & (ids[i] != ids[j])
-            label = labels_of(len(ids), i[ok], j[ok])
+            first = ~np.repeat(np.logical_or.reduceat(late, starts), np.diff(np.append(starts, len(ids))))
+            counts = lambda i, j: (late[i] | late[j] | first[i]) & (ids[i] != ids[j])  # noqa: E731, B023
+            label = labels_of(len(ids), *pairs_in_blocks(np.stack(cols[4:], 1).view(np.uint64), starts, radius, counts=counts))
             order = np.argsort(label, kind="stable")
             cuts = block_starts([label[order]])
             number = np.add.reduceat(mix(ids.view(np.uint64)[order]), cuts)
@@ -244,7 +243,8 @@ def dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id", similar: f
         joined = components(found)
     lows = texts.select("id", "low").join(joined.withColumnRenamed("node", "id"), "id", "left").groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("low").alias("low"))
     kept = cut(lows.select(F.col("low.file").alias("_file"), F.col("low.row").alias("_row")), "kept")
-    return rows.join(kept, ["_file", "_row"], "left_semi").drop("_file", "_row")
+    # texts move once, whatever the size: what stays grows with the input, so it is never broadcast
+    return rows.join(kept.hint("merge"), ["_file", "_row"], "left_semi").drop("_file", "_row")
 
 
 def _sets(rows: DataFrame, text: str, texts: DataFrame, groups: DataFrame) -> DataFrame:

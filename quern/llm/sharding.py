@@ -159,7 +159,7 @@ def shard(df: DataFrame, identity: list[str], shards: int = SHARDS, seed: int =
     rows = numbered(df.drop("shard", "slot"))
     slim = cut(rows.select("_file", "_row", *identity), "sharding")
     slots = cut(placed(slim, identity, shards, seed, partitions).select("_file", "_row", "shard", "slot"), "slots")
-    return rows.join(slots, ["_file", "_row"]).drop("_file", "_row")
+    return rows.join(slots.hint("merge"), ["_file", "_row"]).drop("_file", "_row")  # a slot a row: too many to broadcast at any size that matters
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -149,13 +150,12 @@ def within(differ, over: np.ndarray, bits: int, radius: int) -> tuple[np.ndarray
     return live, over
 
 
-def close_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of one block's fingerprints within the radius: each row against all lanes of the block."""
+def close_pairs(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of one block's fingerprints within the radius, 512 rows i at a time: each row against all lanes of the block."""
     n, words = fps.shape
     planes = bit_planes(fps)
     own_bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
     none = ~np.packbits(np.arange(planes.shape[1] * 64) < n, bitorder="little").view(np.uint64)
-    out_i, out_j = [], []
     for r0 in range(0, n, 512):
         own = (own_bits[r0 : r0 + 512].astype(np.uint64) * FULL).T
         differ = lambda k, live: planes[k : k + 8, None, :] ^ own[k : k + 8, live, None]  # noqa: E731, B023
@@ -163,24 +163,25 @@ def close_pairs(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         if len(live):
             i, j = np.nonzero(np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")[:, :n])
             i = live[i] + r0
-            out_i.append(i[i < j])
-            out_j.append(j[i < j])
-    none = np.empty(0, np.int64)
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (none, none)
+            yield i[i < j], j[i < j]
 
 
-def pairs_in_blocks(fps: np.ndarray, starts: np.ndarray, radius: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within the radius of rows in one block (blocks stand one after the other), all bit-sliced.
+def pairs_in_blocks(fps: np.ndarray, starts: np.ndarray, radius: int, few: int = FEW, counts: Callable = lambda i, j: True) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that join whatever pairs of rows within the radius and in one block join (blocks stand one after the other), all bit-sliced.
 
-    Blocks of `few` rows or more are compared one by one. Smaller ones share lanes: all pairs at
+    Only pairs that counts(i, j) takes are looked at. At most 512 x the members of a block and `few`
+    x all rows are held as pairs; of a large block a forest goes on. Blocks of `few` rows or more are compared one by one. Smaller ones share lanes: all pairs at
     one distance in the order of rows are compared at once, planes against the same planes moved.
     """
     size = np.diff(np.append(starts, len(fps)))
     out_i, out_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for s, n in zip(starts[size >= few].tolist(), size[size >= few].tolist(), strict=True):
-        i, j = close_pairs(fps[s : s + n], radius)
-        out_i.append(s + i)
-        out_j.append(s + j)
+        star_i, star_j = np.empty(0, np.int64), np.empty(0, np.int64)
+        for i, j in close_pairs(fps[s : s + n], radius):
+            ok = np.broadcast_to(counts(s + i, s + j), len(i))
+            star_i, star_j = forest(n, np.concatenate([star_i, i[ok]]), np.concatenate([star_j, j[ok]]))
+        out_i.append(s + star_i)
+        out_j.append(s + star_j)
     own, stop = np.repeat(size, size), np.repeat(starts + size, size)
     at, planes = np.arange(len(fps)), None
     step, most = 1, int(size[size < few].max(initial=0))
@@ -196,8 +197,10 @@ def pairs_in_blocks(fps: np.ndarray, starts: np.ndarray, radius: int, few: int =
         if len(live):
             lane, bit = np.nonzero(np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little"))
             i = live[lane] * 64 + bit
-            out_i.append(at[i])
-            out_j.append(at[i + step])
+            i, j = at[i], at[i + step]
+            ok = np.broadcast_to(counts(i, j), len(i))
+            out_i.append(i[ok])
+            out_j.append(j[ok])
         step += 1
     return np.concatenate(out_i), np.concatenate(out_j)
 

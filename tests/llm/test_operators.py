@@ -272,8 +272,8 @@ def test_close_pairs_and_block_pairs_find_every_link(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(60)]
     fps = list({b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(4))) for b in base for _ in range(12)})
-    i, j = simhash.close_pairs(np.array(fps, np.uint64)[:, None], 2)
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= 2}
+    found = [np.concatenate(x) for x in zip(*simhash.close_pairs(np.array(fps, np.uint64)[:, None], 2), strict=True)]
+    assert set(zip(*(x.tolist() for x in found), strict=True)) == {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= 2}
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     frame = spark.createDataFrame([(f,) for f in signed], "f0 long")
     edges = simhash.links(frame, 2, simhash.exact_tables(2), block=5, few=3)  # buckets dealt as pairs of blocks
@@ -357,7 +357,9 @@ def test_bit_slices_find_every_pair_of_a_block():
                     f[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
                 fps.append(f)
         fps, starts = np.array(fps), np.cumsum([0, *sizes[:-1]])
-        i, j = simhash.pairs_in_blocks(fps, starts, radius)
+        i, j = simhash.pairs_in_blocks(fps, starts, radius, few=1000)
+        stars = simhash.pairs_in_blocks(fps, starts, radius)
+        assert (simhash.labels_of(len(fps), i, j) == simhash.labels_of(len(fps), *stars)).all()
         near = lambda a, b: int(np.bitwise_count(fps[a] ^ fps[b]).sum()) <= radius  # noqa: E731, B023
         want = {(a, b) for s, n in zip(starts.tolist(), sizes, strict=True) for a in range(s, s + n) for b in range(a + 1, s + n) if near(a, b)}
         assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(want) and len(want) > 1000
@@ -525,7 +527,7 @@ def test_toxicity_on_held_out_labels(spark):
 
 def test_scores_are_the_sum_over_all_pairs(spark):
     """The query's scores, from the model's numbers term by term and pair by pair."""
-    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train(docs, labels)
     rows = [*read(SF)[:60], (-1, None), (-2, ""), (-3, "ÄÖ " * 50)]
     got = {r["doc_id"]: r["score"] for r in toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
