@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern.storage import cut, drop, release, shared_dir
 from quern.storage import table as _table
 
-__all__ = ["cut", "drop", "numbered", "release", "shared_dir", "small_batches", "stowed", "table"]
+__all__ = ["cut", "drop", "numbered", "release", "row_ids", "shared_dir", "small_batches", "stowed", "table"]
 
 #: Bytes of an Arrow batch to Python: with long texts the default of 10,000 rows or 64 MB is too much beside a batch's results.
 BATCH = 8 << 20
@@ -49,6 +49,18 @@ def numbered(df: DataFrame) -> DataFrame:
     return cut(df.select("*", F.lit(0).cast("long").alias("_file"), F.monotonically_increasing_id().alias("_row")), "numbered")
 
 
+def row_ids(df: DataFrame) -> DataFrame:
+    """df with `_row`, one long that tells its rows apart, the same whenever it is read again (see numbered()).
+
+    Files are numbered by the order of their hashes: 16 bytes a file, which the driver's own list of
+    the files exceeds many times.
+    """
+    rows = numbered(df)
+    files = sorted(r[0] for r in rows.select("_file").distinct().collect())
+    of = df.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "_file long, _k long")
+    return rows.join(F.broadcast(of), "_file").withColumn("_row", F.shiftleft("_k", 40) + F.col("_row")).drop("_file", "_k")
+
+
 def stowed(*parameters: str) -> Callable:
     """For operators on a DataFrame, `parameters` naming those of their arguments that hold column names.
 

@@ -8,10 +8,9 @@ from itertools import product
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from quern.llm.common import cut, table
+from quern.llm.common import cut, row_ids, table
 
 #: Tables, projections of a table, and the width of a slot in projected standard deviations.
 TABLES, PROJECTIONS, WIDTH = 4, 4, 1.0
@@ -67,10 +66,10 @@ class Index:
 
 
 def _vectors(df: DataFrame, ident: str, vector: str) -> tuple[DataFrame, int, float, int]:
-    """(id, x) of the rows that take part, their dimension, largest norm and number."""
+    """(id, x, row) of the rows that take part, their dimension, largest norm and number."""
     x = F.col("x")
     fine = x.isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
-    rows = df.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).where(F.col("id").isNotNull() & fine)
+    rows = row_ids(df.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))).select("id", "x", F.col("_row").alias("row")).where(F.col("id").isNotNull() & fine)
     norm2 = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)
     sizes = rows.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm2).alias("m")).orderBy(F.desc("n"), F.desc("d")).limit(1).collect()
     if not sizes:
@@ -104,7 +103,7 @@ def build(rows: DataFrame, d: int, norm: float, n: int, k: int, seed: int = 3, s
 
 
 def _place(index: Index, query: bool):
-    """Rows (id, x) to (g, codes, id, x): homes of the index rows, or the cells that a query visits, by group."""
+    """Rows (id, x, row) to (g, codes, id, x, row): homes of the index rows, or the cells that a query visits, by group."""
 
     def run(batches):
         import pyarrow as pa
@@ -129,7 +128,7 @@ def _place(index: Index, query: bool):
                         g_out.append(int(g[a]))
                         c_out.append(c[a:z])
                 take = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(g_out, pa.int32()), pa.array(c_out, pa.list_(pa.int64())), batch.column(0).take(take), batch.column(1).take(take)], ["g", "codes", "id", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(g_out, pa.int32()), pa.array(c_out, pa.list_(pa.int64())), *(batch.column(c).take(take) for c in range(3))], ["g", "codes", "id", "x", "row"])
 
     return run
 
@@ -155,11 +154,11 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _rank(k: int):
     """Blocks sorted by (g, salt, side): index rows first, then the queries that visit any of their cells."""
 
-    def score(x, ids, codes, q, qid, qcodes):
+    def score(x, ids, rows, codes, q, qid, qrow, qcodes):
         import pyarrow as pa
 
         cells, inv = np.unique(codes, return_inverse=True)
-        out_q, out_v, out_s = [], [], []
+        out: list[list] = [[], [], [], [], []]
         for s in range(0, len(q), 64):
             rough = q[s : s + 64] @ x.T
             for i in range(len(rough)):
@@ -170,23 +169,23 @@ def _rank(k: int):
                     ok[at[cells[at] == qcodes[j]]] = True
                 else:  # all rows, each in its cell of the first table
                     ok = cells >> 48 == 0
-                some = np.flatnonzero(ok[inv] & (ids != qid[j]))
+                some = np.flatnonzero(ok[inv] & (rows != qrow[j]))
                 if not len(some):
                     continue
                 r = rough[i, some]
                 if len(r) > 2 * k:  # a row may stand in two of the block's cells: 2 k rows hold k ids
                     kth = np.partition(r, len(r) - TABLES * k)[len(r) - TABLES * k] if len(r) > TABLES * k else r.min()
                     some = some[r >= kth - 1e-9 * (1 + abs(kth))]
-                v, first = np.unique(np.stack([ids[some].astype(float), exact(q[j], x[some])], 1), axis=0, return_index=True)
-                some, sc = some[first], v[:, 1]
+                some = some[np.unique(rows[some], return_index=True)[1]]
+                sc = exact(q[j], x[some])
                 top = best(sc, ids[some], k)
-                out_q += [int(qid[j])] * len(top)
-                out_v += ids[some[top]].tolist()
-                out_s += sc[top].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], ["query_id", "vec_id", "score"])
+                for o, v in zip(out, ([int(qrow[j])] * len(top), [int(qid[j])] * len(top), rows[some[top]].tolist(), ids[some[top]].tolist(), sc[top].tolist()), strict=True):
+                    o += v
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], ["query_row", "query_id", "row", "vec_id", "score"])
 
     def run(batches):
-        key, xs, ids, codes = None, [], [], []
+        key, xs, ids, rows, codes = None, [], [], [], []
         block = None
         for b in batches:
             g, salt, side = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
@@ -195,20 +194,21 @@ def _rank(k: int):
             cuts = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (salt[1:] != salt[:-1]) | (side[1:] != side[:-1])))
             for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(g)], strict=True):
                 if (g[a], salt[a]) != key:
-                    key, xs, ids, codes, block = (g[a], salt[a]), [], [], [], None
+                    key, xs, ids, rows, codes, block = (g[a], salt[a]), [], [], [], [], None
                 part = b.slice(a, z - a)
                 x = part.column(5).flatten().to_numpy(zero_copy_only=False).reshape(z - a, -1)
                 c = [np.asarray(v) for v in part.column(3).to_pylist()]
-                i = part.column(4).to_numpy()
+                i, r = part.column(4).to_numpy(), part.column(6).to_numpy()
                 if side[a] == 0:
                     n = np.array([len(v) for v in c])
                     xs.append(np.repeat(x, n, 0))
                     ids.append(np.repeat(i, n))
+                    rows.append(np.repeat(r, n))
                     codes.append(np.concatenate(c))
                 elif xs:
                     if block is None:
-                        block = np.concatenate(xs), np.concatenate(ids), np.concatenate(codes)
-                    yield score(*block, x, i, c)
+                        block = np.concatenate(xs), np.concatenate(ids), np.concatenate(rows), np.concatenate(codes)
+                    yield score(*block, x, i, r, c)
 
     return run
 
@@ -222,32 +222,32 @@ def search(df: DataFrame, queries: Column, k: int = 20, ident: str = "vec_id", v
     original vectors in double precision, k rows a query and block go on, and a last ranking by
     query merges them. A query whose cells hold fewer than k rows is taken again against all
     blocks, so it gets k rows too, or all there are. Rows with null, zero or non-finite vectors,
-    a null id, or another length than most take no part; ties go to the smaller id; rows of equal
-    id and score count once.
+    a null id, or another length than most take no part; ties go to the smaller id. Repeated rows
+    are candidates, and queries, of their own. An empty table gives an empty result.
     """
     spark = df.sparkSession
     rows, d, norm, n = _vectors(df, ident, vector)
     index = build(rows, d, norm, n, k)
-    kind = "g int, codes array<long>, id long, x array<double>"
+    kind = "g int, codes array<long>, id long, x array<double>, row long"
     data = cut(rows.mapInArrow(_place(index, False), kind), "index")
     blocks = cut(data.groupBy("g").agg(F.ceil(F.sum(F.size("codes")) / BLOCK).cast("int").alias("blocks")), "blocks")  # `groups` rows at most
     sized = F.broadcast(blocks) if index.groups <= MAPPED else blocks
-    data = data.join(sized, "g").select("g", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("salt"), F.lit(0).alias("side"), "codes", "id", "x")
+    data = data.join(sized, "g").select("g", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("salt"), F.lit(0).alias("side"), "codes", "id", "x", "row")
 
     def ranked(asked: DataFrame) -> DataFrame:
-        asked = asked.join(sized, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(1).alias("side"), "codes", "id", "x")
+        asked = asked.join(sized, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(1).alias("side"), "codes", "id", "x", "row")
         both = data.unionByName(asked).repartition("g", "salt").sortWithinPartitions("g", "salt", "side")
-        found = both.mapInArrow(_rank(k), T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())]))
-        by = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return found.distinct().withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = both.mapInArrow(_rank(k), "query_row long, query_id long, row long, vec_id long, score double")
+        by = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+        return found.distinct().withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_row", "query_id", "rank", "vec_id", "score")
 
     out = cut(ranked(rows.where(queries).mapInArrow(_place(index, True), kind)), "neighbours")
-    counts = out.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
-    few = cut(rows.where(queries).join(counts, "id", "left").where(F.coalesce("_n", F.lit(0)) < min(k, n - 1)).select("id", "x"), "few")
+    counts = out.groupBy(F.col("query_row").alias("row")).agg(F.count(F.lit(1)).alias("_n"))
+    few = cut(rows.where(queries).join(counts, "row", "left").where(F.coalesce("_n", F.lit(0)) < min(k, n - 1)).select("id", "x", "row"), "few")
     if few.isEmpty():
-        return out
-    again = few.select(F.explode(F.sequence(F.lit(0), F.lit(index.groups - 1))).alias("g"), F.array().cast("array<long>").alias("codes"), "id", "x")
-    return out.join(few.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(ranked(again))
+        return out.drop("query_row")
+    again = few.select(F.explode(F.sequence(F.lit(0), F.lit(index.groups - 1))).alias("g"), F.array().cast("array<long>").alias("codes"), "id", "x", "row")
+    return out.join(few.select(F.col("row").alias("query_row")), "query_row", "left_anti").unionByName(ranked(again)).drop("query_row")
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,13 @@ _PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Seeds beyond the base kinds: access keys of a published form, and values given to a name that says they are secret.
+SECRET = "secret"
+_SECRETS = (
+    r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
+    r"|(?<=(?i:password|passwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[\x20]?[=:][\x20]?[\x22\x27]?)(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{8,128}"
+)
+_NAMES = r"AKIA|(?i:passw|secret|token|key)[^\n]{0,8}[=:]"
 #: Identifier-like words that contexts may discover.
 _CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_-]{5,63}+(?![A-Za-z0-9_-])"
 #: A pattern needs so many distinct seeds, and this share of all its occurrences in the texts, to speak; an instance this score to be taken.
@@ -108,6 +115,10 @@ def base_spans(text: Column) -> Column:
     return F.concat(*parts)
 
 
+def secrets(text: Column) -> Column:
+    return F.when(text.rlike(_NAMES), found(text, SECRET, _SECRETS)).otherwise(F.array().cast(_SPAN))
+
+
 def candidates(text: Column) -> Column:
     c = F.filter(found(text, "", _CANDIDATE), lambda s: F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= 4)
     return F.when(text.rlike("[0-9]{2}"), c).otherwise(F.array().cast(_SPAN))
@@ -116,27 +127,31 @@ def candidates(text: Column) -> Column:
 def discover(spans: DataFrame, texts: DataFrame, seeds: int = SEEDS, confident: float = CONFIDENT, rounds: int = ROUNDS) -> DataFrame:
     """(value, kind) of identifiers beyond the base: the bootstrapping.
 
-    Instances are values, patterns the word before a value. Base values are seeds of their kind
-    with score 1. Each round, a pattern's confidence in a kind is the sum of its distinct
-    instances' scores over all its occurrences in all texts (so a word that mostly precedes
-    ordinary words never speaks, whatever follows it); an instance's score is 1 - prod(1 -
-    confidence) over its patterns of `seeds` scored instances at least. Values that reach
-    `confident` in the last round are returned. Everything is sums by key over (pattern, value)
-    rows, combined before each shuffle.
+    Instances are values, patterns the word before a value (glued to it or not). Base values and
+    secrets are seeds of their kind with score 1. Each round, a pattern's confidence in a kind is
+    the sum of its occurrences before scored instances, weighed by their scores, over all its
+    occurrences, whatever follows: in texts with copies both sides count every copy. A word that
+    mostly precedes ordinary words so never speaks. An instance's score is 1 - prod(1 - confidence)
+    over its patterns of `seeds` scored instances at least. Values that reach `confident` in the
+    last round are returned. Everything is sums by key over (pattern, value) rows, combined before
+    each shuffle.
     """
-    rows = spans.select(F.explode(F.concat("base", "cand")).alias("s")).select(F.lower("s.value").alias("v"), F.col("s.before").alias("p"), F.nullif("s.kind", F.lit("")).alias("kind"))
-    edges = rows.where("p <> ''").groupBy("p", "v").agg(F.min("kind").alias("kind"))
-    able = edges.groupBy("p").agg(F.count(F.lit(1)).alias("values"), F.count("kind").alias("seeded")).where(F.col("values") >= seeds)
+    rows = spans.select(F.explode(F.concat("base", "seed", "cand")).alias("s")).select(F.lower("s.value").alias("v"), F.col("s.before").alias("p"), F.nullif("s.kind", F.lit("")).alias("kind"))
+    edges = rows.where("p <> ''").groupBy("p", "v").agg(F.min("kind").alias("kind"), F.count(F.when(F.col("kind").isNull(), 1)).alias("free"), F.count("kind").alias("taken"))
+    # a value that is a candidate where it is a seed too counts once a place
+    edges = edges.select("p", "v", "kind", F.greatest("free", "taken").alias("n"))
+    able = edges.groupBy("p").agg(F.count(F.lit(1)).alias("values"), F.count("kind").alias("seeded"), F.sum("n").alias("own")).where(F.col("values") >= seeds)
     words = texts.select(F.explode(F.split(F.lower("t"), r"\s+")).alias("p"))
     # counted before the join: a task sends a word once, however often it has it
     total = words.groupBy("p").agg(F.count(F.lit(1)).alias("total"))
-    # a confident pattern has at least as many instances as its occurrences' share asks for
-    able = cut(able.join(total, "p").where(F.col("values") >= F.col("total") * confident).select("p", "total"), "patterns")
+    # a confident pattern has at least as many instances as its occurrences' share asks for; a word glued to its values never stands alone
+    able = able.join(total, "p", "left").withColumn("total", F.greatest(F.coalesce("total", F.lit(0)), "own"))
+    able = cut(able.where(F.col("own") >= F.col("total") * confident).select("p", "total"), "patterns")
     edges = cut(edges.join(able, "p"), "edges")
     base = edges.where("kind is not null").groupBy("v", "kind").agg(F.lit(1.0).alias("score"))
     score = base
     for _ in range(rounds):
-        said = edges.select("p", "v", "total").join(score, "v").groupBy("p", "kind").agg((F.sum("score") / F.first("total")).alias("conf"), F.count(F.lit(1)).alias("n"))
+        said = edges.select("p", "v", "n", "total").withColumnRenamed("n", "times").join(score, "v").groupBy("p", "kind").agg((F.sum(F.col("score") * F.col("times")) / F.first("total")).alias("conf"), F.count(F.lit(1)).alias("n"))
         said = said.where((F.col("n") >= seeds) & (F.col("conf") > 0)).select("p", "kind", F.least("conf", F.lit(1 - 1e-9)).alias("conf"))
         new = edges.where("kind is null").select("p", "v").join(said, "p").groupBy("v", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"))
         score = cut(base.unionByName(new), "scores")
@@ -148,21 +163,22 @@ def discover(spans: DataFrame, texts: DataFrame, seeds: int = SEEDS, confident:
 def scan(docs: DataFrame, text: str = "text", seeds: int = SEEDS, confident: float = CONFIDENT, rounds: int = ROUNDS) -> DataFrame:
     """docs without its text, with `base` and `spans`: arrays of (kind, start, end), by kind as listed, then start.
 
-    `spans` holds the base spans and those that contexts discover where no base span lies. Null
+    `spans` holds the base spans, and secrets and what contexts discover where no base span lies. Null
     texts are empty: no spans. Repeated rows are rows of their own; columns named like the
     results are replaced. Texts of any length are searched whole.
     """
     keep = [c for c in docs.columns if c not in ("base", "spans", text)]
     t = F.coalesce(F.col(text), F.lit(""))
-    held = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), base_spans(t).alias("base"), candidates(t).alias("cand"))
+    held = docs.select(*keep, F.monotonically_increasing_id().alias("_row"), base_spans(t).alias("base"), secrets(t).alias("seed"), candidates(t).alias("cand"))
     held = cut(held, "pii")  # row numbers hold from here on
     values = discover(held, docs.select(t.alias("t")), seeds, confident, rounds)
     cand = held.select("_row", F.explode("cand").alias("s")).withColumn("v", F.lower("s.value"))
     more = cand.join(values, "v").groupBy("_row").agg(F.collect_list(F.struct("kind", "s.start", "s.end")).alias("more"))
     out = held.join(more, "_row", "left")
     slim = lambda a: F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    order = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
-    free = F.filter(F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    order = lambda s: F.array_position(F.array(*[F.lit(k) for k in (*KINDS, SECRET)]), s["kind"])
+    beyond = F.concat(slim(F.col("seed")), F.filter(F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>")), lambda m: ~F.exists("seed", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))))
+    free = F.filter(beyond, lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     every = F.array_sort(F.transform(F.concat(slim(F.col("base")), free), lambda s: F.struct(order(s).alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return out.select(*keep, slim(F.col("base")).alias("base"), slim(F.array_distinct(every)).alias("spans"))
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import stowed, table
+from quern.llm.common import row_ids, stowed, table
 from quern.llm.repeats import Hashes, Kind, merged, mix, removals
 
 #: Words of a window.
@@ -151,10 +151,10 @@ def dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFra
     window of LENGTH words over it also starts earlier: in a text of smaller id (null ids last;
     among equal ids the row read first), or in the same text before. Null texts have no words;
     texts of under LENGTH words keep all; repeated rows lose all their windows but the first
-    row's. docs must give the same rows when read again, as tables do. Columns named like the
+    row's. Columns named like the
     results are replaced, all others go through.
     """
-    docs = docs.drop("n_words", "cuts", "kept").withColumn("_row", F.monotonically_increasing_id())
+    docs = row_ids(docs.drop("n_words", "cuts", "kept"))
     gone = removals(docs.select(F.col("_row").alias("row"), F.col(ident).cast("long").alias("doc"), F.col(text).alias("text")), WORDS)
     both = docs.join(gone.select(F.col("row").alias("_row"), F.col("cuts").alias("_cuts")), "_row", "left").drop("_row")
     at = both.columns.index(text)

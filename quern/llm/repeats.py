@@ -8,11 +8,12 @@ Consecutive windows with one anchor form a run, and runs are all that moves betw
 2. Counts by A (combined before the shuffle) drop runs whose anchor is unique: their windows are.
 3. Runs with equal A and S are equal window by window. Where an anchor has one S only, that decides.
 4. Where it has several, one run of each S sends its span's symbols to the anchor's bucket, and
-   the bucket finds which windows are equal. Buckets of very many spans are split by window hash.
+   the bucket finds which windows are equal. Where there are over SPANS spans, each window goes on
+   its own, by anchor, place about it and hash, to sums that are combined before they are shuffled.
 5. Removal intervals go back to their texts.
 
 No step has a group of unbounded size in one task: 2 and 3 are aggregates and joins on the key,
-4 holds at most about SPANS spans of a bucket at once. Work and moved data follow the number of
+4 holds at most SPANS spans of a bucket at once. Work and moved data follow the number of
 runs, about one for 80 bytes or 7 words.
 """
 
@@ -26,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import cut, drop, release
+from quern.llm.words import slices
 
-#: Symbols that are hashed at once, and distinct spans of a bucket above which it is split.
+#: Symbols that are hashed at once, and distinct spans of a bucket above which its windows go one by one.
 CHUNK, SPANS = 1 << 18, 2_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -136,7 +138,7 @@ def _emit_runs(kind: Kind):
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in slices(batches):
             texts = [kind.symbols(t or b"") for t in b.column(2).to_pylist()]
             row, doc = b.column(0), b.column(1)
             for number, place, count, lo, a, s in _runs_of(kind, texts):
@@ -150,60 +152,68 @@ def _emit_runs(kind: Kind):
 
 
 def _fetch(kind: Kind):
-    """Texts with requests to the requested spans: a row for each part of the anchor's bucket that a window of the span is in."""
+    """Texts (row, doc, text, wanted) to the spans that are wanted of them."""
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            out: list[list] = [[] for _ in range(8)]
-            size = 0
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.binary())
+
+        def batch(out):
+            return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["a", "row", "doc", "pos", "lo", "span"])
+
+        out, size = [[] for _ in kinds], 0
+        for b in slices(batches):
             for row, doc, text, wanted in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 x = kind.symbols(text or b"")
                 for w in wanted:
-                    span = x[w["pos"] : w["pos"] + w["n"] + kind.window - 1]
-                    subs = [0] if w["parts"] == 1 else np.unique(Hashes(kind.mixed(span)).every(kind.window) % np.uint64(w["parts"])).tolist()
-                    raw = span.tobytes()
-                    for sub in subs:
-                        for o, v in zip(out, (w["a"], sub, w["parts"], row, doc, w["pos"], w["lo"], raw), strict=True):
-                            o.append(v)
-                        size += len(raw)
-                    if size > 1 << 23:
-                        yield _batch(out)
-                        out, size = [[] for _ in range(8)], 0
-            yield _batch(out)
-
-    def _batch(out):
+                    raw = x[w["pos"] : w["pos"] + w["n"] + kind.window - 1].tobytes()
+                    for o, v in zip(out, (w["a"], row, doc, w["pos"], w["lo"], raw), strict=True):
+                        o.append(v)
+                    size += len(raw)
+                if size > 1 << 22:
+                    yield batch(out)
+                    out, size = [[] for _ in kinds], 0
+        yield batch(out)
+
+    return run
+
+
+def _each_window(kind: Kind):
+    """Texts (row, doc, text, wanted) to a row for each window of the wanted spans: (a, place about the anchor, hash, row, doc, pos)."""
+
+    def run(batches):
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["a", "sub", "parts", "row", "doc", "pos", "lo", "span"])
+        for b in slices(batches, 64):
+            for k, (text, wanted) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                h = Hashes(kind.mixed(kind.symbols(text or b"")))
+                pos, n, lo, a = (np.array([w[c] for w in wanted], np.int64) for c in ("pos", "n", "lo", "a"))
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(pos, n) + step
+                take = pa.array(np.full(len(at), k))
+                cols = [pa.array(np.repeat(a, n)), pa.array((np.repeat(lo, n) - step).astype(np.int16)), pa.array(h.of(at, at + kind.window).view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(at)]
+                yield pa.RecordBatch.from_arrays(cols, ["a", "lo", "h", "row", "doc", "pos"])
 
     return run
 
 
 def _buckets(kind: Kind):
-    """Spans sorted by bucket to removal intervals. Whole buckets are gathered up to CHUNK windows and compared together."""
+    """Spans sorted by anchor to removal intervals. Whole buckets are gathered up to CHUNK windows and compared together."""
     win = kind.window
 
     def compare(rows: list[tuple]) -> tuple[np.ndarray, ...]:
-        spans = [np.frombuffer(r[6], kind.dtype) for r in rows]
+        spans = [np.frombuffer(r[4], kind.dtype) for r in rows]
         counts = np.array([len(s) - win + 1 for s in spans])
-        group = kind.groups(spans, np.array([r[5] for r in rows]))
+        group = kind.groups(spans, np.array([r[3] for r in rows]))
         owner = np.repeat(np.arange(len(rows)), counts)
         t = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        live = np.ones(len(owner), bool)
-        for k, r in enumerate(rows):
-            if r[1] > 1:  # this part's windows only
-                mine = Hashes(kind.mixed(spans[k])).every(win) % np.uint64(r[1]) == r[0]
-                live[owner == k] = mine
-        owner, t, group = owner[live], t[live], group[live]
-        bucket = np.array([r[7] for r in rows])[owner]
+        bucket = np.array([r[5] for r in rows])[owner]
         key = group * (int(bucket.max()) + 1 if len(bucket) else 1) + bucket
-        row, pos = np.array([r[2] for r in rows]), np.array([r[4] for r in rows])
+        row, pos = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
         if kind.first_stays:
-            null = np.array([r[3] is None for r in rows])
-            doc = np.array([0 if r[3] is None else r[3] for r in rows], np.int64)
+            null = np.array([r[1] is None for r in rows])
+            doc = np.array([0 if r[1] is None else r[1] for r in rows], np.int64)
             order = np.lexsort((pos[owner] + t, row[owner], doc[owner], null[owner], key))
             gone = np.zeros(len(order), bool)
             gone[order[1:]] = key[order[1:]] == key[order[:-1]]
@@ -222,17 +232,16 @@ def _buckets(kind: Kind):
             row, start, end = compare(rows)
             return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["row", "start", "end"])
 
-        held, size, bucket, key, bound = [], 0, -1, None, 0
+        held, size, bucket, key = [], 0, -1, None
         for b in batches:
-            for a, sub, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (a, sub) != key:
-                    key, bucket = (a, sub), bucket + 1
+            for a, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if a != key:
+                    key, bucket = a, bucket + 1
                     if size > CHUNK:
                         yield emit(held)
                         held, size, bucket = [], 0, 0
-                parts, row, doc, pos, lo, span = rest
-                held.append((sub, parts, row, doc, pos, lo, span, bucket))
-                size += len(span) // np.dtype(kind.dtype).itemsize
+                held.append((*rest, bucket))
+                size += len(rest[-1]) // np.dtype(kind.dtype).itemsize
         if held:
             yield emit(held)
 
@@ -258,13 +267,19 @@ def removals(docs: DataFrame, kind: Kind) -> DataFrame:
     if kind.first_stays:
         full = full.where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
     full = full.select("row", F.col("pos").alias("start"), (F.col("pos") + F.col("n") - 1 + kind.window).alias("end"))
-    several = by_s.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPANS).cast("int").alias("parts"), F.count(F.lit(1)).alias("k")).where("k > 1").select("a", "parts")
-    several = cut(several, "several")
-    wanted = by_s.join(several, "a").select(F.col("first.row").alias("row"), F.struct(F.col("first.pos").alias("pos"), "n", "lo", "a", "parts").alias("w"))
-    wanted = wanted.groupBy("row").agg(F.collect_list("w").alias("w"))  # a text's own anchors
-    spans = docs.join(wanted, "row").select("row", "doc", F.col("text").cast("binary"), "w").mapInArrow(_fetch(kind), "a long, sub int, parts int, row long, doc long, pos long, lo short, span binary")
-    spans = spans.repartition("a", "sub").sortWithinPartitions("a", "sub")
-    part = spans.mapInArrow(_buckets(kind), "row long, start long, end long")
+    several = cut(by_s.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "several")
+    wanted = by_s.join(several, "a").select(F.col("first.row").alias("row"), (F.col("k") > SPANS).alias("hot"), F.struct(F.col("first.pos").alias("pos"), "n", "lo", "a").alias("w"))
+    wanted = cut(wanted.groupBy("row", "hot").agg(F.collect_list("w").alias("w")), "wanted")  # a text's own anchors
+    asked = lambda hot: docs.join(wanted.where(F.col("hot") == hot).drop("hot"), "row").select("row", "doc", F.col("text").cast("binary"), "w")
+    spans = asked(False).mapInArrow(_fetch(kind), "a long, row long, doc long, pos long, lo short, span binary")
+    part = spans.repartition("a").sortWithinPartitions("a").mapInArrow(_buckets(kind), "row long, start long, end long")
+    if not wanted.where("hot").isEmpty():
+        windows = cut(asked(True).mapInArrow(_each_window(kind), "a long, lo short, h long, row long, doc long, pos long"), "hot")
+        twice = cut(windows.groupBy("a", "lo", "h").agg(F.count(F.lit(1)).alias("c"), F.min(me).alias("first")).where("c > 1").select("a", "lo", "h", "first"), "twice")
+        again = windows.join(twice, ["a", "lo", "h"])
+        if kind.first_stays:
+            again = again.where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
+        part = part.unionByName(again.select("row", F.col("pos").alias("start"), (F.col("pos") + kind.window).alias("end")))
     every = full.unionByName(part).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
     out = cut(every, "cuts")
     drop(rep, by_s, several)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import stowed, table
+from quern.llm.common import row_ids, stowed, table
 from quern.llm.repeats import Hashes, Kind, merged, mix, removals
 
 #: Bytes of a string that may occur once only.
@@ -96,10 +96,10 @@ def dedup(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFra
     A byte goes if a LENGTH-byte string over it also starts at any other place, in the same or
     another text, overlaps included; all copies go. Null texts are empty; texts shorter than
     LENGTH keep all; of repeated rows every long enough byte goes, as the other row has it too.
-    docs must give the same rows when read again, as tables do. Columns named like the results
+    Columns named like the results
     are replaced, all others go through.
     """
-    docs = docs.drop("cuts", "kept").withColumn("_row", F.monotonically_increasing_id())
+    docs = row_ids(docs.drop("cuts", "kept"))
     gone = removals(docs.select(F.col("_row").alias("row"), F.col(ident).cast("long").alias("doc"), F.col(text).alias("text")), BYTES)
     both = docs.join(gone.select(F.col("row").alias("_row"), F.col("cuts").alias("_cuts")), "_row", "left").drop("_row")
     at = both.columns.index(text)
