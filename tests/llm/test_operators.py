@@ -305,12 +305,13 @@ def test_close_pairs_and_block_pairs_find_every_link(spark):
     assert len({got.get(f, f) for f in signed}) == len(groups)
 
 
-def test_components_of_a_long_chain(spark):
-    order = list(range(300))
+@pytest.mark.parametrize("local", [0, 40, components.LOCAL])
+def test_components_of_a_long_chain(spark, local):
+    order = list(range(120))
     random.Random(5).shuffle(order)
-    edges = [(order[k], order[k + 1]) for k in range(299)] + [(1000, 1001), (1000, 1000)]
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert len({got[k] for k in range(300)}) == 1 and got[1000] == got[1001] != got[0]
+    edges = [(order[k], order[k + 1]) for k in range(119)] + [(1000, 1001), (1000, 1000)]
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long"), local).collect()}
+    assert len({got[k] for k in range(120)}) == 1 and got[1000] == got[1001] != got[0]
 
 
 def jaccard(a: str, b: str) -> float:
