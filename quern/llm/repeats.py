@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -266,23 +267,29 @@ def removals(docs: DataFrame, kind: Kind) -> DataFrame:
     full = rep.join(by_s.where("c > 1").select("a", "s", "first"), ["a", "s"])
     if kind.first_stays:
         full = full.where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
-    full = full.select("row", F.col("pos").alias("start"), (F.col("pos") + F.col("n") - 1 + kind.window).alias("end"))
+    # each part is a table of its own: a hot key's partition of a plain join can be split, and its shuffle files go before the next
+    parts = [cut(full.select("row", F.col("pos").alias("start"), (F.col("pos") + F.col("n") - 1 + kind.window).alias("end")), "copies")]
+    drop(rep)
+    release(docs.sparkSession)
     several = cut(by_s.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "several")
     wanted = by_s.join(several, "a").select(F.col("first.row").alias("row"), (F.col("k") > SPANS).alias("hot"), F.struct(F.col("first.pos").alias("pos"), "n", "lo", "a").alias("w"))
     wanted = cut(wanted.groupBy("row", "hot").agg(F.collect_list("w").alias("w")), "wanted")  # a text's own anchors
     asked = lambda hot: docs.join(wanted.where(F.col("hot") == hot).drop("hot"), "row").select("row", "doc", F.col("text").cast("binary"), "w")
     spans = asked(False).mapInArrow(_fetch(kind), "a long, row long, doc long, pos long, lo short, span binary")
-    part = spans.repartition("a").sortWithinPartitions("a").mapInArrow(_buckets(kind), "row long, start long, end long")
+    parts.append(cut(spans.repartition("a").sortWithinPartitions("a").mapInArrow(_buckets(kind), "row long, start long, end long"), "sorted"))
+    release(docs.sparkSession)
     if not wanted.where("hot").isEmpty():
         windows = cut(asked(True).mapInArrow(_each_window(kind), "a long, lo short, h long, row long, doc long, pos long"), "hot")
         twice = cut(windows.groupBy("a", "lo", "h").agg(F.count(F.lit(1)).alias("c"), F.min(me).alias("first")).where("c > 1").select("a", "lo", "h", "first"), "twice")
         again = windows.join(twice, ["a", "lo", "h"])
         if kind.first_stays:
             again = again.where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
-        part = part.unionByName(again.select("row", F.col("pos").alias("start"), (F.col("pos") + kind.window).alias("end")))
-    every = full.unionByName(part).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
+        parts.append(cut(again.select("row", F.col("pos").alias("start"), (F.col("pos") + kind.window).alias("end")), "again"))
+        drop(windows, twice)
+        release(docs.sparkSession)
+    every = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
     out = cut(every, "cuts")
-    drop(rep, by_s, several)
+    drop(by_s, several, wanted, *parts)
     release(docs.sparkSession)
     return out
 
