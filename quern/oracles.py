@@ -1,11 +1,38 @@
-"""The queries once more in DuckDB's SQL."""
+"""The queries once more in DuckDB's SQL.
 
-from __future__ import annotations
+Nothing of the engine is imported: token rule, marks, stop words and the stemmer are stated anew, so
+that a mistake in the engine's own does not stand on both sides.
+"""
 
-from quern.functions.analysis import _FOLD_FROM, _FOLD_TO, _WIDE, STOP_WORDS, TOKEN
-from quern.functions.porter import sql_steps
+from __future__ import annotations
 
-_TOKEN = TOKEN.replace("'", "''")
+_TOKEN = "\\p{N}+([.,]\\p{N}+)*|[\\p{L}\\p{N}]+([''’][\\p{L}\\p{N}]+)*"
+# The English stop words.
+_STOP_WORDS = """
+a about above after again against all am an and any are as at be because been before being below between both but by
+can cannot could did do does doing down during each few for from further had has have having he her here hers herself
+him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or
+other ought our ours ourselves out over own same she should so some such than that the their theirs them themselves
+then there these they this those through to too under until up very was we were what when where which while who whom
+why will with would you your yours yourself yourselves
+""".split()
+# Plain letters and the letters with marks that fold to them.
+_MARKS = {
+    "a": "àáâãäåāă", "c": "çćč", "d": "ðđ", "e": "èéêëēėęě", "i": "ìíîïīį", "l": "ł", "n": "ñńň", "o": "òóôõöøō",
+    "r": "ř", "s": "śšş", "t": "ťţ", "u": "ùúûüūů", "y": "ýÿ", "z": "žźż",
+    "ae": "æ", "oe": "œ", "ss": "ß", "th": "þ",
+}
+# Fixed values of the published stemmer: suffixes and replacements of its steps 2 and 3, suffixes of step 4.
+_STEP_2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al",
+    "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al",
+    "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log",
+}
+_STEP_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+_STEP_4 = (
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti",
+    "ous", "ive", "ize",
+)
 
 
 def _norm_space(x: str) -> str:
@@ -23,21 +50,58 @@ def stripped(x: str) -> str:
 
 
 def folded(x: str) -> str:
-    out = f"translate({x}, '{_FOLD_FROM}', '{_FOLD_TO}')"
-    for a, b in _WIDE.items():
-        out = f"replace({out}, '{a}', '{b}')"
+    out = x
+    for plain, marked in _MARKS.items():
+        out = f"regexp_replace({out}, '[{marked}]', '{plain}', 'g')"
     return out
 
 
+def _kinds(x: str) -> str:
+    """C for a consonant and V for a vowel, letter by letter: y is a vowel after a consonant."""
+    out = f"regexp_replace(translate({x}, 'aeioubcdfghjklmnpqrstvwxz', 'VVVVV{20 * 'C'}'), '^y', 'C')"
+    for _ in range(20):  # letters up to 40, each turn settles two of a run of y
+        out = f"replace(replace({out}, 'Cy', 'CV'), 'Vy', 'VC')"
+    return out
+
+
+def _suffixed(suffixes: dict[str, str], able) -> str:
+    """The longest suffix of x decides; it is replaced if the kinds of what stands before it are `able`."""
+    whens = ""
+    for s in sorted(suffixes, key=len, reverse=True):
+        rest = f"left(x, length(x) - {len(s)})"
+        whens += f" WHEN ends_with(x, '{s}') THEN CASE WHEN {able(f'left(f, length(f) - {len(s)})', s)} THEN {rest} || '{suffixes[s]}' ELSE x END"
+    return f"CASE{whens} ELSE x END"
+
+
 def stem(source: str) -> str:
-    """(term, stem) of a query that gives distinct terms."""
+    """(term, stem) of a query that gives distinct terms: the published steps by counts of VC in the words' kinds."""
+    count = lambda f: f"((length({f}) - length(replace({f}, 'VC', ''))) / 2)::INT"
+    short = lambda x, f: f"(ends_with({f}, 'CVC') AND right({x}, 1) NOT IN ('w', 'x', 'y'))"
+    some = lambda f, _: f"contains({f}, 'VC')"
+    last, rest, kinds = "right(x, 1)", "left(x, length(x) - 1)", "left(f, length(f) - 1)"
+    several = lambda f, s: f"{count(f)} > 1" + (f" AND substr(x, length(x) - {len(s)}, 1) IN ('s', 't')" if s == "ion" else "")
+    past = "CASE WHEN ends_with(x, 'eed') THEN 0 WHEN ends_with(x, 'ed') AND contains(left(f, length(f) - 2), 'V') THEN 2 WHEN ends_with(x, 'ing') AND contains(left(f, length(f) - 3), 'V') THEN 3 ELSE 0 END"
+    steps = [
+        "CASE WHEN ends_with(x, 'sses') OR ends_with(x, 'ies') THEN left(x, length(x) - 2) WHEN ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN left(x, length(x) - 1) ELSE x END",
+        f"CASE WHEN ends_with(x, 'eed') AND contains(left(f, length(f) - 3), 'VC') THEN {rest} WHEN {past} > 0 THEN left(x, length(x) - {past}) || '+' ELSE x END",
+        # after ed or ing, marked by +
+        f"""CASE WHEN NOT ends_with(x, '+') THEN x WHEN regexp_matches(x, '(at|bl|iz)\\+$') THEN {rest} || 'e'
+            WHEN length(x) > 2 AND x[-2] = x[-3] AND f[-2] = 'C' AND x[-2] NOT IN ('l', 's', 'z') THEN left(x, length(x) - 2)
+            WHEN {count(kinds)} = 1 AND {short(rest, kinds)} THEN {rest} || 'e' ELSE {rest} END""",
+        f"CASE WHEN {last} = 'y' AND contains({kinds}, 'V') THEN {rest} || 'i' ELSE x END",
+        _suffixed(_STEP_2, some),
+        _suffixed(_STEP_3, some),
+        _suffixed(dict.fromkeys(_STEP_4, ""), several),
+        f"CASE WHEN {last} = 'e' AND ({count(kinds)} > 1 OR ({count(kinds)} = 1 AND NOT {short(rest, kinds)})) THEN {rest} ELSE x END",
+        f"CASE WHEN ends_with(x, 'll') AND {count('f')} > 1 THEN {rest} ELSE x END",
+    ]
     sql = f"SELECT term, term AS x FROM ({source})"
-    for step in sql_steps("regexp_matches"):
-        sql = f"SELECT term, {step} AS x FROM ({sql})"
+    for step in steps:
+        sql = f"SELECT term, {step} AS x FROM (SELECT term, x, {_kinds('x')} AS f FROM ({sql}))"
     return f"SELECT term, CASE WHEN regexp_full_match(term, '[a-z]{{3,}}') THEN x ELSE term END AS stem FROM ({sql})"
 
 
-_STOPS = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
+_STOPS = ", ".join(f"'{w}'" for w in _STOP_WORDS)
 _TERMS = f"length(term) BETWEEN 2 AND 40 AND term NOT IN ({_STOPS})"
 
 
@@ -234,6 +298,7 @@ def all_sql() -> dict[str, str]:
         "log_statistics": f"{_LOGS} SELECT count(*) AS total, round(avg(took_us) / 1000, 3) AS average_ms, round(max(took_us) / 1000.0::DOUBLE, 3) AS slowest_ms, sum((hit_count = 0)::INT)::BIGINT AS empty_results FROM logs",
         "recent_queries": f"{_LOGS} SELECT query, hit_count, took_us FROM logs ORDER BY ts DESC, query, took_us LIMIT 20",
         "explain_hits": f"{prefix()} SELECT doc_id, 0::BIGINT AS clause, round(s, 6) AS contribution FROM ({term('heat')}) UNION ALL SELECT doc_id, 1, round(s, 6) FROM ({term('ble')})",
+        "explain_page": f"{prefix()}, parts AS (SELECT doc_id, 'heat' AS term, s FROM ({term('heat')}) UNION ALL SELECT doc_id, 'ble', s FROM ({term('ble')})), page AS (SELECT doc_id, s AS total FROM ({two}) ORDER BY round(s, 6) DESC, doc_id LIMIT 20) SELECT doc_id, term, round(s::DOUBLE, 6) AS contribution, round(total::DOUBLE, 6) AS score FROM parts JOIN page USING (doc_id)",
         "prefix_expand": f"{STEMMED} SELECT term, document_frequency FROM terms WHERE starts_with(term, 'hea') ORDER BY document_frequency DESC, term LIMIT 64",
         "wildcard_expand": f"{STEMMED} SELECT term, document_frequency FROM terms WHERE regexp_full_match(term, 'h.*a.') ORDER BY document_frequency DESC, term LIMIT 64",
         "sort_newest": dated("p DESC NULLS LAST, doc_id DESC"),

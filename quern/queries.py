@@ -13,6 +13,7 @@ from quern.config import AnalyzerConfig, Ranking, Settings
 from quern.engine import SearchEngine
 from quern.functions import analysis, porter
 from quern.operators import highlight, results
+from quern.operators.explain import Explainer, Explanation
 from quern.operators.filters import Filters
 from quern.operators.index import DOCUMENT, Index, checksum, postings_of, wildcard
 from quern.sources import documents as sources
@@ -296,6 +297,22 @@ def explain_hits(spark, sf_dir):
     return rows.groupBy("doc_id", F.col("clause").cast("long").alias("clause")).agg(F.round(F.sum("score"), 6).alias("contribution"))
 
 
+def explain_page(spark, sf_dir):
+    """The explainer's own values for a page of 20 hits: the score and what each term adds to it."""
+    e = engine(spark, sf_dir)
+    plan = e.plan("heat ble")
+    ids = [r["doc_id"] for r in results.top(e.matched(plan), 0, 20).collect()]
+    explainer, rows = Explainer(e.index, plan, ids), []
+
+    def terms(x: Explanation):
+        return [x] if x.description.startswith("term ") else [t for d in x.details for t in terms(d)]
+
+    for doc in ids:
+        why = explainer.explain(doc)
+        rows += [(doc, t.description.removeprefix("term "), round(t.value, 6), round(why.value, 6)) for t in terms(why)]
+    return spark.createDataFrame(rows, "doc_id long, term string, contribution double, score double")
+
+
 def postings_without_positions(spark, sf_dir):
     p = postings_of(corpus(spark, sf_dir), Settings(analyzer=AnalyzerConfig(stemmer="none"), store_positions=False))
     return p.where("positions is null").groupBy("term").agg(F.sum("tf").cast("long").alias("tf"))
@@ -340,7 +357,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         tokenize_counts, tokenize_positions, tokenize_offsets, strip_apostrophes, fold_ascii, normalise_terms, length_stop_filter, minimal_analyzer, porter_stems, stream_aggregates, query_normalise,
         media_types, parse_text_docs, parse_json_props, parse_html_pages, clean_metadata, checksums, postings, postings_without_positions, term_dictionary, term_dictionary_unstemmed, field_lengths, collection_stats,
         index_statistics, upsert_status, index_after_upsert, index_after_delete, topk_paged, top_summary, published_range, suggest_terms, popular_queries, popular_with_prefix, log_statistics,
-        recent_queries, highlight_hits, explain_hits,
+        recent_queries, highlight_hits, explain_hits, explain_page,
     ]
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in plain}
     out |= {n: _search(q, **kw) for n, (q, kw) in SEARCHES.items()}
