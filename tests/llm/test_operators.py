@@ -421,6 +421,20 @@ def test_licenses_match_sql(spark, small, where):
     assert any(r["labels"] != r["base_labels"] for r in want)
 
 
+def test_license_templates_wrapped_over_lines(spark):
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\")"
+    texts = {
+        1: f"x y z\n{notice}\nto deal",
+        2: notice.replace(" ", f" {prose(30, 1)} "),  # the words stand far apart: no window holds enough
+        3: "Released under the Apache License", 4: "licensed under the GNU General Public\nLicense",
+        5: "under the\n\n * MIT *\n license", 6: None, 7: "", 8: "permission " * 3000,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs).collect()}
+    assert got[1] == (["mit"], 1.0) and got[5] == (["mit"], 1.0) and got[4] == (["gpl"], 1.0)
+    assert {k: got[k] for k in (2, 3, 6, 7, 8)} == {k: ([], 0.0) for k in (2, 3, 6, 7, 8)}
+
+
 # ---- 7: neighbours
 
 
