@@ -199,6 +199,34 @@ def _each_window(kind: Kind):
     return run
 
 
+#: Columns of a span that is wanted whole (h is null), and of a window of a hot anchor's span (span is null).
+FETCHED = "a long, lo short, h long, row long, doc long, pos long, span binary"
+
+
+def _fetch_all(kind: Kind):
+    """Texts (row, doc, text, wanted, hot) to the spans of wanted anchors, those of hot anchors window by window: one pass over the texts for both."""
+    whole, each = _fetch(kind), _each_window(kind)
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        names = [c.split()[0] for c in FETCHED.split(", ")]
+
+        def filled(out, name, like):
+            got = pa.nulls(out.num_rows, like)
+            return pa.RecordBatch.from_arrays([out.column(c) if c != name else got for c in names], names)
+
+        for b in batches:
+            hot = b.column(4)
+            for out in whole([b.filter(pc.invert(hot)).select([0, 1, 2, 3])]):
+                yield filled(out, "h", pa.int64())
+            for out in each([b.filter(hot).select([0, 1, 2, 3])]):
+                yield filled(out, "span", pa.binary())
+
+    return run
+
+
 def _buckets(kind: Kind):
     """Spans sorted by anchor to removal intervals. Whole buckets are gathered up to CHUNK windows and compared together."""
     win = kind.window
@@ -274,22 +302,25 @@ def removals(docs: DataFrame, kind: Kind) -> DataFrame:
     several = cut(by_s.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "several")
     wanted = by_s.join(several, "a").select(F.col("first.row").alias("row"), (F.col("k") > SPANS).alias("hot"), F.struct(F.col("first.pos").alias("pos"), "n", "lo", "a").alias("w"))
     wanted = cut(wanted.groupBy("row", "hot").agg(F.collect_list("w").alias("w")), "wanted")  # a text's own anchors
-    asked = lambda hot: docs.join(wanted.where(F.col("hot") == hot).drop("hot"), "row").select("row", "doc", F.col("text").cast("binary"), "w")
-    spans = asked(False).mapInArrow(_fetch(kind), "a long, row long, doc long, pos long, lo short, span binary")
+    # the texts move once for both: shuffled texts are the most that is on disk here
+    asked = docs.join(wanted, "row").select("row", "doc", F.col("text").cast("binary"), "w", "hot")
+    fetched = cut(asked.mapInArrow(_fetch_all(kind), FETCHED), "fetched")
+    release(docs.sparkSession)
+    spans = fetched.where("span is not null").select("a", "row", "doc", "pos", "lo", "span")
     parts.append(cut(spans.repartition("a").sortWithinPartitions("a").mapInArrow(_buckets(kind), "row long, start long, end long"), "sorted"))
     release(docs.sparkSession)
     if not wanted.where("hot").isEmpty():
-        windows = cut(asked(True).mapInArrow(_each_window(kind), "a long, lo short, h long, row long, doc long, pos long"), "hot")
+        windows = fetched.where("span is null").select("a", "lo", "h", "row", "doc", "pos")
         twice = cut(windows.groupBy("a", "lo", "h").agg(F.count(F.lit(1)).alias("c"), F.min(me).alias("first")).where("c > 1").select("a", "lo", "h", "first"), "twice")
         again = windows.join(twice, ["a", "lo", "h"])
         if kind.first_stays:
             again = again.where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
         parts.append(cut(again.select("row", F.col("pos").alias("start"), (F.col("pos") + kind.window).alias("end")), "again"))
-        drop(windows, twice)
+        drop(twice)
         release(docs.sparkSession)
     every = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
     out = cut(every, "cuts")
-    drop(by_s, several, wanted, *parts)
+    drop(by_s, several, wanted, fetched, *parts)
     release(docs.sparkSession)
     return out
 
