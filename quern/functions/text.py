@@ -8,22 +8,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TRIM = "[ \\t\\n\\r\\x00\\x0B]"
+#: Where none of this stands, normalise_whitespace() has nothing to do but trim.
+_UNEVEN = "[\\r\\x00\\t\\u00a0]|  | \\n|\\n |\\n\\n\\n"
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_TRIM}+|{_TRIM}+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\x00\x0b"))
 
 
 def normalise_whitespace(text: Column) -> Column:
     """CR and CRLF to LF, NUL out, blanks to one, none about a newline, two newlines in a row at most."""
     t = F.replace(F.regexp_replace(text, "\\r\\n?", "\n"), F.lit("\x00"), F.lit(""))
     t = F.regexp_replace(F.regexp_replace(t, "[ \\t\\u00a0]+", " "), " *\\n *", "\n")
-    return trim(F.regexp_replace(t, "\\n{3,}", "\n\n"))
+    return trim(F.when(text.rlike(_UNEVEN), F.regexp_replace(t, "\\n{3,}", "\n\n")).otherwise(text))
 
 
 def first_line(text: Column) -> Column:
-    lines = F.filter(F.transform(F.split(text, "\n"), trim), lambda x: x != "")
-    return F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
+    """Of a trimmed text: its first line is not blank then."""
+    return F.coalesce(trim(F.substring_index(text, "\n", 1)), F.lit(""))
 
 
 def without_first_line(text: Column) -> Column:

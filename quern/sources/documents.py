@@ -96,12 +96,12 @@ def clean_tags(tags: Column) -> Column:
 
 def _plain(raw: DataFrame) -> DataFrame:
     """Text and markdown, by expressions alone: the first line is the title unless one is given."""
-    raw = raw.withColumn("_c", X.normalise_whitespace(F.col("content")))
+    raw = raw.select("*", F.explode(F.array(X.normalise_whitespace(F.col("content")))).alias("_c"))  # a generator: else each use below is computed anew
     heading = X.truncate(F.regexp_replace(X.first_line(F.col("_c")), "^[# ]+", ""), 120)
     rest = X.without_first_line(F.col("_c"))
     own = F.col("title").isNull()
     body = F.when(own & (rest != ""), rest).otherwise(F.col("_c"))
-    error = F.when(F.col("_c") == "", F.lit("the document has no text"))
+    error = F.when(F.coalesce("_c", F.lit("")) == "", F.lit("the document has no text"))
     return raw.select(*[c for c in raw.columns if c not in ("_c", "title")], F.coalesce("title", heading).alias("title"), body.alias("body"), error.alias("error"))
 
 
@@ -137,17 +137,21 @@ REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """RAW rows to documents, and to (external_id, media_type, error) of those that can't be taken."""
-    raw = raw.withColumn("media_type", media_type(F.col("media_type")))
+def checked(raw: DataFrame) -> DataFrame:
+    """All RAW rows of known media types, parsed, with their checksums; `error` says why a row can't be a document."""
     parts = []
     for parser in dict.fromkeys(REGISTRY.values()):
         own = [m for m, p in REGISTRY.items() if p is parser]
-        parts.append(parser(raw.where(F.col("media_type").isin(own))))
+        parts.append(parser(raw.withColumn("media_type", media_type(F.col("media_type"))).where(F.col("media_type").isin(own))))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
+    return every.withColumn("tags", clean_tags(F.col("tags"))).select("*", checksum(*DOCUMENT).alias("checksum"))
+
+
+def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """RAW rows to documents, and to (external_id, media_type, error) of those that can't be taken."""
+    every, raw = checked(raw), raw.withColumn("media_type", media_type(F.col("media_type")))
     strange = raw.where(~F.col("media_type").isin(list(REGISTRY))).select("external_id", "media_type", F.lit(f"unknown media type; known: {', '.join(REGISTRY)}").alias("error"))
     bad = every.where("error is not null").select("external_id", "media_type", "error").unionByName(strange)
-    docs = every.where("error is null").withColumn("tags", clean_tags(F.col("tags"))).select(*DOCUMENT)
-    return docs.select(F.xxhash64("external_id").alias("doc_id"), "*", checksum(*DOCUMENT).alias("checksum")), bad
+    return every.where("error is null").select(F.xxhash64("external_id").alias("doc_id"), *DOCUMENT, "checksum"), bad
