@@ -10,22 +10,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.storage import cut, drop, release, shared_dir
+from quern.storage import cut, drop, release, shared_dir, small_batches
 from quern.storage import table as _table
 
 __all__ = ["cut", "drop", "numbered", "release", "row_ids", "shared_dir", "small_batches", "stowed", "table"]
 
-#: Bytes of an Arrow batch to Python: with long texts the default of 10,000 rows or 64 MB is too much beside a batch's results.
-BATCH = 8 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """From now on, this session's Arrow batches to Python hold BATCH bytes at most (or one row); a lower setting stays."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > BATCH if spark.conf.get(key).rstrip("b").isdigit() else True:
-        spark.conf.set(key, str(BATCH))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return _table(spark, sf_dir, name)

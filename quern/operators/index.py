@@ -10,9 +10,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.config import AnalyzerConfig, FieldRegistry, Settings
-from quern.functions import analysis
-from quern.storage import shared_dir
+from quern.config import Settings
+from quern.operators.invert import chunks
+from quern.storage import cut, drop, shared_dir
 
 #: Term frequency and field length are held to this in a posting; totals are not.
 MOST = 65535
@@ -20,38 +20,31 @@ MOST = 65535
 DOCUMENT = ("external_id", "media_type", "title", "body", "url", "author", "category", "tags", "published_at")
 
 
-def field_texts(docs: DataFrame, fields: FieldRegistry) -> DataFrame:
-    """(doc_id, field_id, content): tags joined with a blank; blank fields are left out."""
-    parts = []
-    for f in fields:
-        text = F.array_join(F.col(f.name), " ") if dict(docs.dtypes)[f.name].startswith("array") else F.col(f.name)
-        parts.append(F.struct(F.lit(f.number).alias("field_id"), text.alias("content")))
-    rows = docs.select("doc_id", F.explode(F.array(*parts)).alias("f")).select("doc_id", "f.field_id", "f.content")
-    return rows.where(F.length(F.regexp_replace("content", "[ \\t\\n\\r\\x00\\x0B]", "")) > 0)
+def postings_from(chunks: DataFrame) -> DataFrame:
+    """(term, field_id, doc_id, tf, field_length, positions, occurrences)."""
+    rows = chunks.where("term is not null").select("term", "field_id", F.posexplode("ids").alias("_k", "doc_id"), "tfs", "lengths", "starts", "places")
+    tf, held = F.get("tfs", F.col("_k")), lambda c: F.least(c, F.lit(MOST))
+    return rows.select("term", "field_id", "doc_id", held(tf).alias("tf"), held(F.get("lengths", F.col("_k"))).alias("field_length"), F.slice("places", F.get("starts", F.col("_k")) + 1, tf).alias("positions"), tf.cast("long").alias("occurrences"))
 
 
-def analysed(docs: DataFrame, fields: FieldRegistry, config: AnalyzerConfig) -> DataFrame:
-    """(doc_id, field_id, field_length, term, position): the tokens that remain, each with its field's length.
+def lengths_from(chunks: DataFrame) -> DataFrame:
+    """(doc_id, field_id, length) of every field with text, fields of stop words alone at length 0."""
+    return chunks.where("term is null").select("field_id", F.posexplode("ids").alias("_k", "doc_id"), "lengths").select("doc_id", "field_id", F.get("lengths", F.col("_k")).alias("length"))
+
 
-    The length is the size of the row's own array, so no second pass or join finds it.
-    """
-    rows = field_texts(docs, fields).withColumn("_t", analysis.terms(F.col("content"), config)).drop("content")
-    rows = rows.select("doc_id", "field_id", F.size("_t").alias("field_length"), F.explode("_t").alias("_t"))
-    rows = rows.select("doc_id", "field_id", "field_length", F.col("_t.term").alias("term"), F.col("_t.position").alias("position"))
-    return analysis.stemmed(rows, config)
+def terms_from(chunks: DataFrame) -> DataFrame:
+    """(term, document_frequency, total_frequency): term_statistics() without a row for each document."""
+    return chunks.where("term is not null").groupBy("term").agg(F.sum("documents").alias("document_frequency"), F.sum("occurrences").alias("total_frequency"))
 
 
 def postings_of(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(term, field_id, doc_id, tf, field_length, positions): one shuffle by (document, field, term), combined before it."""
-    grouped = analysed(docs, settings.fields, settings.analyzer).groupBy("doc_id", "field_id", "term")
-    positions = F.array_sort(F.collect_list("position")) if settings.store_positions else F.lit(None).cast("array<int>")
-    out = grouped.agg(F.count(F.lit(1)).alias("n"), F.first("field_length").alias("field_length"), positions.alias("positions"))
-    return out.select("term", "field_id", "doc_id", F.least("n", F.lit(MOST)).cast("int").alias("tf"), F.least("field_length", F.lit(MOST)).cast("int").alias("field_length"), "positions", F.col("n").alias("occurrences"))
+    return postings_from(chunks(docs, settings))
 
 
-def lengths_of(docs: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, field_id, length) of every field with text, fields of stop words alone at length 0."""
-    return field_texts(docs, settings.fields).select("doc_id", "field_id", F.size(analysis.terms(F.col("content"), settings.analyzer)).alias("length"))
+def merged(postings: DataFrame) -> DataFrame:
+    """Postings of rows that share a doc_id made one."""
+    rows = postings.groupBy("term", "field_id", "doc_id").agg(F.sum("occurrences").alias("occurrences"), F.first("field_length").alias("field_length"), F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"), F.count("positions").alias("n"))
+    return rows.select("term", "field_id", "doc_id", F.least("occurrences", F.lit(MOST)).cast("int").alias("tf"), "field_length", F.when(F.col("n") > 0, F.col("positions")).alias("positions"), "occurrences")
 
 
 def term_statistics(postings: DataFrame) -> DataFrame:
@@ -78,6 +71,7 @@ class Index:
 
     def __init__(self, documents: DataFrame, postings: DataFrame, terms: DataFrame, lengths: DataFrame, settings: Settings):
         self.documents, self.postings, self.terms, self.lengths, self.settings = documents, postings, terms, lengths, settings
+        self.chunks: DataFrame | None = None  # of a built index: what its tables come from
 
     # ---- building
 
@@ -85,21 +79,38 @@ class Index:
     def build(cls, documents: DataFrame, settings: Settings | None = None) -> Index:
         """A lazy index of (doc_id, title, tags, body, ...) rows; save() it (or settled()) before many queries."""
         settings = settings or Settings()
-        postings = postings_of(documents, settings)
-        return cls(documents, postings, term_statistics(postings), lengths_of(documents, settings), settings)
+        parts = chunks(documents, settings)
+        index = cls(documents, postings_from(parts), terms_from(parts), lengths_from(parts), settings)
+        if documents.groupBy("doc_id").count().where("count > 1").isEmpty():
+            index.chunks = parts
+        else:  # rows with one id: their postings are one document's
+            index.postings = merged(index.postings)
+            index.terms = term_statistics(index.postings)
+        return index
 
     def settled(self) -> Index:
         """The same as tables in the folder that all executors share: short plans, and nothing to recompute if one is lost."""
         return self.save(f"{shared_dir(self.documents.sparkSession)}/quern-index-{uuid.uuid4().hex}")
 
     def save(self, path: str, mode: str = "overwrite") -> Index:
-        """Parquet tables; postings and terms are ranged and sorted by term, so a term's scan skips all other row groups."""
-        self.documents.write.mode(mode).parquet(f"{path}/documents")
-        self.lengths.write.mode(mode).parquet(f"{path}/lengths")
-        (self.postings.repartitionByRange("term", "field_id", "doc_id").sortWithinPartitions("term", "field_id", "doc_id").write.mode(mode).parquet(f"{path}/postings"))
+        """Parquet tables; postings and terms are ranged and sorted by term, so a term's scan skips all other row groups.
+
+        Chunks are written once; lengths, postings and terms are read from there, and whole chunks
+        are moved and sorted instead of postings.
+        """
         spark = self.documents.sparkSession
-        stored = spark.read.parquet(f"{path}/postings")
-        term_statistics(stored).repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
+        self.documents.write.mode(mode).parquet(f"{path}/documents")
+        parts = cut(self.chunks, "chunks") if self.chunks is not None else None
+        (lengths_from(parts) if parts is not None else self.lengths).write.mode(mode).parquet(f"{path}/lengths")
+        if parts is not None:
+            postings = postings_from(parts.where("term is not null").repartitionByRange("term", "field_id", "first").sortWithinPartitions("term", "field_id", "first"))
+        else:
+            postings = self.postings.repartitionByRange("term", "field_id", "doc_id").sortWithinPartitions("term", "field_id", "doc_id")
+        postings.write.mode(mode).parquet(f"{path}/postings")
+        terms = terms_from(parts) if parts is not None else term_statistics(spark.read.parquet(f"{path}/postings"))
+        terms.repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
+        if parts is not None:
+            drop(parts)
         return Index.load(spark, path, self.settings)
 
     @classmethod
@@ -156,13 +167,14 @@ class Index:
         changed = both.where("status <> 'unchanged'").withColumn("doc_id", F.coalesce("_old", F.xxhash64("external_id")))
         new_docs = changed.select(*self.documents.columns)
         gone = changed.select("doc_id")
-        new = postings_of(new_docs, self.settings)
+        parts = chunks(new_docs, self.settings)
+        new = postings_from(parts)
         old = self.postings.join(gone, "doc_id", "left_semi")
         index = Index(
             self.documents.join(gone, "doc_id", "left_anti").select(*new_docs.columns).unionByName(new_docs),
             self.postings.join(gone, "doc_id", "left_anti").select(*new.columns).unionByName(new),
-            merge(self.terms, deltas(new, 1).unionByName(deltas(old, -1))),
-            self.lengths.join(gone, "doc_id", "left_anti").unionByName(lengths_of(new_docs, self.settings)),
+            merge(self.terms, terms_from(parts).unionByName(deltas(old))),
+            self.lengths.join(gone, "doc_id", "left_anti").unionByName(lengths_from(parts)),
             self.settings,
         )
         return index, both.select("external_id", "status")
@@ -172,7 +184,7 @@ class Index:
         gone = self.documents.where(F.col("external_id").isin(external_ids)).select("doc_id")
         old = self.postings.join(gone, "doc_id", "left_semi")
         rest = lambda t: t.join(gone, "doc_id", "left_anti").select(*t.columns)
-        return Index(rest(self.documents), rest(self.postings), merge(self.terms, deltas(old, -1)), rest(self.lengths), self.settings)
+        return Index(rest(self.documents), rest(self.postings), merge(self.terms, deltas(old)), rest(self.lengths), self.settings)
 
     def prune(self) -> Index:
         return Index(self.documents, self.postings, self.terms.where("document_frequency > 0"), self.lengths, self.settings)
@@ -187,8 +199,9 @@ class Index:
         return Index.build(self.documents, self.settings)
 
 
-def deltas(postings: DataFrame, sign: int) -> DataFrame:
-    return term_statistics(postings).select("term", (F.col("document_frequency") * sign).alias("document_frequency"), (F.col("total_frequency") * sign).alias("total_frequency"))
+def deltas(postings: DataFrame) -> DataFrame:
+    """What goes with these postings."""
+    return term_statistics(postings).select("term", (-F.col("document_frequency")).alias("document_frequency"), (-F.col("total_frequency")).alias("total_frequency"))
 
 
 def merge(terms: DataFrame, changes: DataFrame) -> DataFrame:

@@ -38,3 +38,51 @@ def test_checksums_count_every_document(spark, tmp_path):
     none = tables(tmp_path / "none", ["x"] * 3)
     pq.write_table(pq.read_table(f"{none}/documents.parquet").slice(0, 0), f"{none}/documents.parquet")
     assert got(spark, none, "checksums") == wanted(none, "checksums") == ["(True, 0)"]
+
+
+INDEXED = ["postings", "postings_without_positions", "term_dictionary", "term_dictionary_unstemmed", "field_lengths", "index_statistics", "bool_and", "phrase_and_term", "index_after_upsert"]
+
+
+def test_index_of_odd_texts(spark, tmp_path):
+    path = tables(tmp_path, [*TEXTS, "the of and", "heat ble " * 3, "’ … ñandú Ærø Þor SS ﬁ Ⅷ ² 3,5.1 x" + "y" * 45, "erin thanea. heat\tble " + "relational hopping sky " * 2])
+    for name in INDEXED:
+        assert got(spark, path, name) == wanted(path, name), name
+
+
+def test_terms_are_those_of_the_expressions(spark):
+    """The index's tokens, on the driver's analyzer and as Spark expressions."""
+    from pyspark.sql import functions as F
+
+    from quern.config import AnalyzerConfig
+    from quern.functions.analysis import Analyzer, tokenize, terms
+
+    points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b {c}{c} " for c in points[k : k + 500]) for k in range(0, len(points), 500)] + ["ΟΔΥΣΣΕΥΣ ΑΣ’ΣΑ İstanbul dogs's DOG’S 's x's"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    config, bad = AnalyzerConfig(stemmer="none"), []
+    a = Analyzer(config)
+    for r in df.select(tokenize(F.col("t")).alias("raw"), terms(F.col("t"), config).alias("terms")).collect():
+        want = [(x["term"], x["position"]) for x in r["terms"]]
+        mine = [(t, k) for k, t in enumerate(map(a.term, r["raw"])) if t is not None]
+        bad += sorted(set(mine) ^ set(want), key=lambda x: x[1])
+    assert bad == []
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    from quern.operators.index import Index
+
+    docs = spark.createDataFrame([(1, "heat one", ["x"], "heat heat"), (1, "heat", ["x"], "ble"), (2, None, [], "ble")], "doc_id long, title string, tags array<string>, body string")
+    ix = Index.build(docs).settled()
+    assert sorted(map(tuple, ix.terms.where("term in ('heat', 'ble')").collect())) == [("ble", 2, 2), ("heat", 1, 4)]
+    assert [(r["doc_id"], r["field_id"], r["tf"], r["positions"]) for r in ix.postings.where("term = 'heat'").orderBy("field_id").collect()] == [(1, 1, 2, [0, 0]), (1, 3, 2, [0, 1])]
+
+
+def test_a_built_index_moves_chunks(spark):
+    """Fewer rows go through its shuffle than it has postings, and no posting's text is joined with stems."""
+    from quern.operators.index import Index
+
+    docs = spark.createDataFrame([(k, None, [], f"heat ble thon w{k % 7}") for k in range(400)], "doc_id long, title string, tags array<string>, body string").coalesce(1)
+    ix = Index.build(docs)
+    assert ix.chunks.count() == 3 + 7 + 1 and ix.postings.count() == 1600
+    plan = ix.postings._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
