@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TRIM = "[ \\t\\n\\r\\x00\\x0B]"
 #: Where none of this stands, normalise_whitespace() has nothing to do but trim.
-_UNEVEN = "[\\r\\x00\\t\\u00a0]|  | \\n|\\n |\\n\\n\\n"
+_UNEVEN = ("\r", "\x00", "\t", "\u00a0", "  ", " \n", "\n ", "\n\n\n")
 
 
 def trim(text: Column) -> Column:
@@ -20,7 +21,8 @@ def normalise_whitespace(text: Column) -> Column:
     """CR and CRLF to LF, NUL out, blanks to one, none about a newline, two newlines in a row at most."""
     t = F.replace(F.regexp_replace(text, "\\r\\n?", "\n"), F.lit("\x00"), F.lit(""))
     t = F.regexp_replace(F.regexp_replace(t, "[ \\t\\u00a0]+", " "), " *\\n *", "\n")
-    return trim(F.when(text.rlike(_UNEVEN), F.regexp_replace(t, "\\n{3,}", "\n\n")).otherwise(text))
+    uneven = reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in _UNEVEN])  # far cheaper than one regular expression
+    return trim(F.when(uneven, F.regexp_replace(t, "\\n{3,}", "\n\n")).otherwise(text))
 
 
 def first_line(text: Column) -> Column:
