@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from quern.config import Settings
 from quern.operators.invert import chunks
-from quern.storage import cut, drop, shared_dir
+from quern.storage import shared_dir
 
 #: Term frequency and field length are held to this in a posting; totals are not.
 MOST = 65535
+#: Rows of a page of stored chunks: what a term's scan reads of a segment at least.
+PAGE = 2000
 #: Columns of a document that are searched, stored or filtered.
 DOCUMENT = ("external_id", "media_type", "title", "body", "url", "author", "category", "tags", "published_at")
 
@@ -71,7 +73,7 @@ class Index:
 
     def __init__(self, documents: DataFrame, postings: DataFrame, terms: DataFrame, lengths: DataFrame, settings: Settings):
         self.documents, self.postings, self.terms, self.lengths, self.settings = documents, postings, terms, lengths, settings
-        self.chunks: DataFrame | None = None  # of a built index: what its tables come from
+        self.chunks: DataFrame | None = None  # of an index as built: what its tables come from
 
     # ---- building
 
@@ -90,33 +92,46 @@ class Index:
 
     def settled(self) -> Index:
         """The same as tables in the folder that all executors share: short plans, and nothing to recompute if one is lost."""
-        return self.save(f"{shared_dir(self.documents.sparkSession)}/quern-index-{uuid.uuid4().hex}")
+        spark, path = self.documents.sparkSession, f"{shared_dir(self.documents.sparkSession)}/quern-index-{uuid.uuid4().hex}"
+        if not hasattr(self.documents, "_quern_path"):
+            return self.save(path)
+        self._write(path, "overwrite")  # documents that cut() wrote are there already
+        return self._read(spark, path, self.settings, self.documents)
 
     def save(self, path: str, mode: str = "overwrite") -> Index:
-        """Parquet tables; postings and terms are ranged and sorted by term, so a term's scan skips all other row groups.
-
-        Chunks are written once; lengths, postings and terms are read from there, and whole chunks
-        are moved and sorted instead of postings.
+        """Parquet tables. Of a built index, chunks are written as they come, a segment of documents after the other and
+        each sorted by term; terms and lengths are read from there. Other postings, and all terms, are ranged and sorted by
+        term. So a term's scan skips all pages but its own, and of chunks only those of its terms become postings.
         """
-        spark = self.documents.sparkSession
         self.documents.write.mode(mode).parquet(f"{path}/documents")
-        parts = cut(self.chunks, "chunks") if self.chunks is not None else None
-        (lengths_from(parts) if parts is not None else self.lengths).write.mode(mode).parquet(f"{path}/lengths")
-        if parts is not None:
-            postings = postings_from(parts.where("term is not null").repartitionByRange("term", "field_id", "first").sortWithinPartitions("term", "field_id", "first"))
+        self._write(path, mode)
+        return Index.load(self.documents.sparkSession, path, self.settings)
+
+    def _write(self, path: str, mode: str) -> None:
+        """All but the documents."""
+        spark, postings = self.documents.sparkSession, f"{path}/postings"
+        if self.chunks is not None:
+            self.chunks.write.mode(mode).option("compression", "zstd").option("parquet.page.row.count.limit", PAGE).parquet(postings)
+            parts = spark.read.parquet(postings)
+            lengths, terms = lengths_from(parts), terms_from(parts)
         else:
-            postings = self.postings.repartitionByRange("term", "field_id", "doc_id").sortWithinPartitions("term", "field_id", "doc_id")
-        postings.write.mode(mode).parquet(f"{path}/postings")
-        terms = terms_from(parts) if parts is not None else term_statistics(spark.read.parquet(f"{path}/postings"))
+            self.postings.repartitionByRange("term", "field_id", "doc_id").sortWithinPartitions("term", "field_id", "doc_id").write.mode(mode).parquet(postings)
+            lengths, terms = self.lengths, term_statistics(spark.read.parquet(postings))
+        lengths.write.mode(mode).parquet(f"{path}/lengths")
         terms.repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
-        if parts is not None:
-            drop(parts)
-        return Index.load(spark, path, self.settings)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, settings: Settings | None = None) -> Index:
+        return cls._read(spark, path, settings, spark.read.parquet(f"{path}/documents"))
+
+    @classmethod
+    def _read(cls, spark: SparkSession, path: str, settings: Settings | None, documents: DataFrame) -> Index:
         read = lambda t: spark.read.parquet(f"{path}/{t}")
-        return cls(read("documents"), read("postings"), read("terms"), read("lengths"), settings or Settings())
+        stored = read("postings")
+        parts = stored if "ids" in stored.columns else None
+        index = cls(documents, stored if parts is None else postings_from(parts), read("terms"), read("lengths"), settings or Settings())
+        index.chunks = parts
+        return index
 
     # ---- looking up
 

@@ -86,3 +86,42 @@ def test_a_built_index_moves_chunks(spark):
     assert ix.chunks.count() == 3 + 7 + 1 and ix.postings.count() == 1600
     plan = ix.postings._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_chunks_are_of_segments_not_of_batches(spark):
+    """Batches of a task go together: a row a term and field, stored by term as it came, without a shuffle."""
+    from quern.operators.index import Index
+
+    docs = spark.createDataFrame([(k, None, [], f"heat ble thon w{k % 7}" if k != 60 else None) for k in range(400)], "doc_id long, title string, tags array<string>, body string").coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "50")
+    try:
+        ix = Index.build(docs).settled()
+    finally:
+        spark.conf.set(key, before)
+    rows = [(r["term"], r["first"], r["documents"]) for r in ix.chunks.collect()]
+    assert rows == [(None, 0, 0), ("ble", 0, 399), ("heat", 0, 399), ("thon", 0, 399), *[(f"w{k}", k, len(range(k, 400, 7)) - (k == 60 % 7)) for k in range(7)]]
+    assert sorted(r["doc_id"] for r in ix.postings.where("term = 'heat'").collect()) == [k for k in range(400) if k != 60]
+    assert "Exchange" not in ix.postings._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_of_bytes_are_those_of_the_expression():
+    import random
+    import unicodedata
+
+    import numpy as np
+    import regex
+
+    from quern.functions.analysis import TOKEN
+    from quern.operators import invert
+
+    kinds = np.array([{"N": invert.DIGIT, "L": invert.LETTER}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.uint8)
+    rng, finder = random.Random(1), regex.compile(TOKEN)
+    for n in range(500):
+        texts = pa.array([None if rng.random() < 0.05 else "".join(rng.choices("aZ39.,'’é٣Ⅷ𝟙𐐀 \n-", k=rng.choice([0, 1, 3, 8, 20]))) for _ in range(rng.randint(1, 12))], pa.string()).slice(n % 2)
+        words, rows = invert.tokens(texts, kinds)
+        assert list(zip(rows.tolist(), words.to_pylist(), strict=True)) == [(k, m[0]) for k, t in enumerate(texts.to_pylist()) for m in finder.finditer(t or "")]
+    data = [b"ab\xffcd \xc3", b"\x80x y\xe2\x80", b"z", b"a\xc1\x81b"]  # no UTF-8
+    bad = pa.array(data, pa.binary())
+    assert invert.tokens(pa.StringArray.from_buffers(4, bad.buffers()[1], bad.buffers()[2]), kinds)[0].to_pylist() == ["ab", "cd", "x", "y", "z", "a", "b"]
