@@ -184,11 +184,14 @@ class Index:
         gone = changed.select("doc_id")
         parts = chunks(new_docs, self.settings)
         new = postings_from(parts)
-        old = self.postings.join(gone, "doc_id", "left_semi")
+        if self.chunks is not None:  # what a built index holds of a document comes from it again, without a row for each posting
+            old = negative(terms_from(chunks(self.documents.join(gone, "doc_id", "left_semi"), self.settings)))
+        else:
+            old = deltas(self.postings.join(gone, "doc_id", "left_semi"))
         index = Index(
             self.documents.join(gone, "doc_id", "left_anti").select(*new_docs.columns).unionByName(new_docs),
             self.postings.join(gone, "doc_id", "left_anti").select(*new.columns).unionByName(new),
-            merge(self.terms, terms_from(parts).unionByName(deltas(old))),
+            merge(self.terms, terms_from(parts).unionByName(old)),
             self.lengths.join(gone, "doc_id", "left_anti").unionByName(lengths_from(parts)),
             self.settings,
         )
@@ -216,7 +219,11 @@ class Index:
 
 def deltas(postings: DataFrame) -> DataFrame:
     """What goes with these postings."""
-    return term_statistics(postings).select("term", (-F.col("document_frequency")).alias("document_frequency"), (-F.col("total_frequency")).alias("total_frequency"))
+    return negative(term_statistics(postings))
+
+
+def negative(terms: DataFrame) -> DataFrame:
+    return terms.select("term", (-F.col("document_frequency")).alias("document_frequency"), (-F.col("total_frequency")).alias("total_frequency"))
 
 
 def merge(terms: DataFrame, changes: DataFrame) -> DataFrame:

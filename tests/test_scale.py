@@ -125,3 +125,20 @@ def test_tokens_of_bytes_are_those_of_the_expression():
     data = [b"ab\xffcd \xc3", b"\x80x y\xe2\x80", b"z", b"a\xc1\x81b"]  # no UTF-8
     bad = pa.array(data, pa.binary())
     assert invert.tokens(pa.StringArray.from_buffers(4, bad.buffers()[1], bad.buffers()[2]), kinds)[0].to_pylist() == ["ab", "cd", "x", "y", "z", "a", "b"]
+
+
+def test_upsert_takes_no_row_for_each_posting(spark):
+    """Term statistics of changed documents come from them; the same as from their postings."""
+    from quern.operators.index import DOCUMENT, Index, checksum
+
+    def docs(texts):
+        rows = [(k, str(k), "text/plain", f"heat {k % 3}x", t, None, None, None, ["heat", "ble"]) for k, t in texts.items()]
+        df = spark.createDataFrame(rows, "doc_id long, external_id string, media_type string, title string, body string, url string, author string, category string, tags array<string>").selectExpr("*", "timestamp'2024-01-01' AS published_at")
+        return df.withColumn("checksum", checksum(*DOCUMENT))
+
+    ix = Index.build(docs({1: "heat heats thon", 2: "ble ble", 3: None})).settled()
+    batch = docs({1: "thon inor", 2: "ble ble", 4: "est"}).drop("doc_id", "checksum")
+    after, _ = ix.upsert(batch)
+    plain = Index(ix.documents, ix.postings, ix.terms, ix.lengths, ix.settings).upsert(batch)[0]
+    assert sorted(map(tuple, after.terms.collect())) == sorted(map(tuple, plain.terms.collect()))
+    assert ("inor", 1, 1) in map(tuple, after.terms.collect()) and "Generate" not in after.terms._jdf.queryExecution().optimizedPlan().toString()
