@@ -3,25 +3,34 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TRIM = "[ \\t\\n\\r\\x00\\x0B]"
-#: Where none of this stands, normalise_whitespace() has nothing to do but trim.
-_UNEVEN = ("\r", "\x00", "\t", "\u00a0", "  ", " \n", "\n ", "\n\n\n")
+_TRIM, _BLANKS = "[ \\t\\n\\r\\x00\\x0B]", " \t\n\r\x00\x0b"
+#: Where none of this stands, the last three beside a newline, normalise_whitespace() has nothing to do but trim.
+_UNEVEN, _NEWLINES = ("\r", "\x00", "\t", "\u00a0", "  "), ("\n ", "\n\n\n", " \n")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
 def trim(text: Column) -> Column:
-    return F.btrim(text, F.lit(" \t\n\r\x00\x0b"))
+    """btrim() notes the place of each character, so only texts go to it of which something is trimmed."""
+    edge = lambda t: reduce(Column.__or__, [x for c in _BLANKS for x in (t.startswith(F.lit(c)), t.endswith(F.lit(c)))])
+    return let(text, lambda t: F.when(edge(t), F.btrim(t, F.lit(_BLANKS))).otherwise(t))
 
 
 def normalise_whitespace(text: Column) -> Column:
     """CR and CRLF to LF, NUL out, blanks to one, none about a newline, two newlines in a row at most."""
     t = F.replace(F.regexp_replace(text, "\\r\\n?", "\n"), F.lit("\x00"), F.lit(""))
     t = F.regexp_replace(F.regexp_replace(t, "[ \\t\\u00a0]+", " "), " *\\n *", "\n")
-    uneven = reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in _UNEVEN])  # far cheaper than one regular expression
+    has = lambda *parts: reduce(Column.__or__, [F.contains(text, F.lit(x)) for x in parts])
+    uneven = has(*_UNEVEN) | (has("\n") & has(*_NEWLINES))  # far cheaper than one regular expression
     return trim(F.when(uneven, F.regexp_replace(t, "\\n{3,}", "\n\n")).otherwise(text))
 
 
@@ -37,10 +46,13 @@ def without_first_line(text: Column) -> Column:
 
 def truncate(text: Column, length: int) -> Column:
     """Cut to a length, at the last blank if that is past half."""
-    head = F.substring(text, 1, length)
-    at = length - F.instr(F.reverse(head), " ")  # characters before the last blank
-    cut = F.when((F.instr(head, " ") > 0) & (at > length / 2), F.substring(head, F.lit(1), at)).otherwise(head)
-    return F.when(F.char_length(text) <= length, text).otherwise(F.regexp_replace(cut, f"{_TRIM}+$", ""))
+
+    def short(text: Column, head: Column) -> Column:
+        at = length - F.instr(F.reverse(head), " ")  # characters before the last blank
+        cut = F.when((F.instr(head, " ") > 0) & (at > length / 2), F.substring(head, F.lit(1), at)).otherwise(head)
+        return F.when(F.char_length(text) <= length, text).otherwise(F.regexp_replace(cut, f"{_TRIM}+$", ""))
+
+    return let(text, lambda t: let(F.substring(t, 1, length), lambda head: short(t, head)))
 
 
 def py_normalise(text: str) -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.config import AnalyzerConfig, Settings
-from quern.functions import analysis
+from quern.functions import analysis, porter
 from quern.storage import small_batches
 
 #: A row a segment, term and field, `first` its first document; documents are counted with a term's first field alone.
@@ -30,9 +30,9 @@ _INTS = pa.list_(pa.int32())
 _ARROW = pa.schema([("term", pa.string()), ("field_id", pa.int32()), ("first", pa.int64()), ("documents", pa.int64()), ("occurrences", pa.int64()), ("ids", pa.list_(pa.int64())), ("tfs", _INTS), ("lengths", _INTS), ("starts", _INTS), ("places", _INTS)])
 #: Tokens of a segment after which the next begins, and postings of a batch that is put out.
 SEGMENT, PUT = 3 << 20, 1 << 18
-#: Tokens whose terms a worker keeps: as many of late, and those of them that came among as many before.
+#: Words whose stems (or tokens whose terms) a worker keeps: as many of late, and those of them that came among as many before.
 KEPT = 1 << 18
-_TERMS: dict[AnalyzerConfig, tuple[dict[str, str | None], dict[str, str | None]]] = {}
+_TERMS: dict[AnalyzerConfig | str, tuple[dict[str, str | None], dict[str, str | None]]] = {}
 LETTER, DIGIT = 1, 2
 
 
@@ -64,7 +64,7 @@ def inverter(fields: list[int], config: AnalyzerConfig, positions: bool, packed:
 class Segment:
     def __init__(self, fields: list[int], config: AnalyzerConfig, positions: bool, packed: bytes):
         self.fields, self.positions, self.kinds = fields, positions, _unpacked(packed)
-        self.config, self.analyzer = config, analysis.Analyzer(config)
+        self.analyzer = analysis.Analyzer(config)
         self.size = self.rows = 0
         self.ids: list[np.ndarray] = []
         self.valid: list[list[np.ndarray]] = [[] for _ in fields]
@@ -85,30 +85,20 @@ class Segment:
                 self.size += len(words)
         self.rows += batch.num_rows
 
-    def codes(self) -> tuple[np.ndarray, list[str]]:
+    def codes(self) -> tuple[np.ndarray, pa.Array]:
         """The place of each word's term among all terms, -1 where it is dropped; a distinct word is looked at once."""
-        late, before = _TERMS.get(self.config, ({}, {}))
-        if len(late) > KEPT:
-            late, before = {}, late
-        _TERMS[self.config] = late, before
         words = pa.concat_arrays(self.words).dictionary_encode()
         self.words.clear()
-        out, code, term_of = np.full(len(words.dictionary), -1, np.int32), {}, self.analyzer.term
-        for i, w in enumerate(words.dictionary.to_pylist()):
-            term = late.get(w, "")
-            if term == "":
-                term = before.get(w, "")
-                term = late[w] = term_of(w) if term == "" else term
-            if term is not None:
-                out[i] = code.setdefault(term, len(code))
-        return out[words.indices.to_numpy()], list(code)
+        found = terms_of(words.dictionary, self.analyzer).dictionary_encode()
+        code = pc.fill_null(found.indices, -1).to_numpy()
+        return code[words.indices.to_numpy()], found.dictionary
 
     def put(self) -> Iterator[pa.RecordBatch]:
         if not self.rows:
             return
         n, many, ids = self.rows, len(self.fields), np.concatenate(self.ids)
         field, row, place = (np.concatenate(x) for x in zip(*self.spots, strict=True)) if self.words else (np.zeros(0, np.int32) for _ in range(3))
-        code, terms = self.codes() if self.words else (field, [])
+        code, terms = self.codes() if self.words else (field, pa.array([], pa.string()))
         kept = code >= 0
         code, field, row, place = code[kept], field[kept], row[kept], place[kept]
         lengths = np.bincount(field * np.int64(n) + row, minlength=many * n)
@@ -120,7 +110,6 @@ class Segment:
         if not len(code):
             return
         # ---- by term, then field, document and place, as tokens of a field come in that order
-        terms = pa.array(terms, pa.string())
         order = pc.sort_indices(terms).to_numpy()
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -157,6 +146,47 @@ def _rows(terms: pa.Array, fields, first, documents, occurrences, offsets, ids,
     return pa.RecordBatch.from_arrays([terms, int_(fields), long(first), long(documents), long(occurrences), lists(long(ids)), lists(int_(tf)), lists(int_(lengths)), lists(int_(starts)), places], schema=_ARROW)
 
 
+# ---- terms
+
+
+def terms_of(words: pa.Array, analyzer: analysis.Analyzer) -> pa.Array:
+    """analyzer.term() of distinct tokens, null where one is dropped: all at once, but tokens with apostrophes.
+
+    Words that end as none of the stemmer's suffixes does are their own stems.
+    """
+    config, none = analyzer.config, pa.nulls(len(words), pa.string())
+    ascii_, marked = pc.string_is_ascii(words), pc.match_substring_regex(words, "['\u2019]")
+    out = pc.ascii_lower(words)
+    other = pc.and_not(pc.invert(ascii_), marked)
+    if pc.any(other).as_py():  # no token holds a newline, and a letter's case never depends on what is beyond one
+        out = pc.replace_with_mask(out, other, pa.array(analyzer.normalise_all("\n".join(words.filter(other).to_pylist())).split("\n"), pa.string()))
+    size = pc.utf8_length(out)
+    kept = pc.and_(pc.greater_equal(size, config.min_length), pc.less_equal(size, config.max_length))
+    if stops := analysis.stop_words(config.stop_words):
+        kept = pc.and_not(kept, pc.is_in(out, pa.array(sorted(stops))))
+    if config.stemmer == "porter":
+        able = pc.and_(pc.and_not(kept, marked), pc.and_(pc.greater_equal(size, 3), pc.match_substring_regex(out, porter.STEMMED)))
+        out = pc.replace_with_mask(out, able, _each(out.filter(able), porter.stem.__wrapped__, "stems"))
+    out = pc.if_else(kept, out, none)
+    return pc.replace_with_mask(out, marked, _each(words.filter(marked), analyzer.term, config))
+
+
+def _each(words: pa.Array, run: Callable[[str], str | None], name: AnalyzerConfig | str) -> pa.Array:
+    """run() of each word; a worker keeps what it gave under a name."""
+    late, before = _TERMS.get(name, ({}, {}))
+    if len(late) > KEPT:
+        late, before = {}, late
+    _TERMS[name] = late, before
+    out = []
+    for w in words.to_pylist():
+        term = late.get(w, "")
+        if term == "":
+            term = before.get(w, "")
+            term = late[w] = run(w) if term == "" else term
+        out.append(term)
+    return pa.array(out, pa.string())
+
+
 # ---- tokens
 
 

@@ -97,10 +97,9 @@ def clean_tags(tags: Column) -> Column:
 def _plain(raw: DataFrame) -> DataFrame:
     """Text and markdown, by expressions alone: the first line is the title unless one is given."""
     raw = raw.select("*", F.explode(F.array(X.normalise_whitespace(F.col("content")))).alias("_c"))  # a generator: else each use below is computed anew
-    heading = X.truncate(F.regexp_replace(X.first_line(F.col("_c")), "^[# ]+", ""), 120)
-    rest = X.without_first_line(F.col("_c"))
+    heading = X.truncate(F.ltrim(X.first_line(F.col("_c")), F.lit("# ")), 120)
     own = F.col("title").isNull()
-    body = F.when(own & (rest != ""), rest).otherwise(F.col("_c"))
+    body = F.when(own, X.let(X.without_first_line(F.col("_c")), lambda rest: F.when(rest != "", rest).otherwise(F.col("_c")))).otherwise(F.col("_c"))
     error = F.when(F.coalesce("_c", F.lit("")) == "", F.lit("the document has no text"))
     return raw.select(*[c for c in raw.columns if c not in ("_c", "title")], F.coalesce("title", heading).alias("title"), body.alias("body"), error.alias("error"))
 

@@ -142,3 +142,44 @@ def test_upsert_takes_no_row_for_each_posting(spark):
     plain = Index(ix.documents, ix.postings, ix.terms, ix.lengths, ix.settings).upsert(batch)[0]
     assert sorted(map(tuple, after.terms.collect())) == sorted(map(tuple, plain.terms.collect()))
     assert ("inor", 1, 1) in map(tuple, after.terms.collect()) and "Generate" not in after.terms._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_of_many_tokens_are_those_of_each(monkeypatch):
+    """As one array, with every kind of letter; the stemmer is asked for words alone that end as a suffix of its does."""
+    import random
+    import unicodedata
+
+    from quern.config import AnalyzerConfig
+    from quern.functions import porter
+    from quern.functions.analysis import Analyzer
+    from quern.operators import invert
+
+    rng = random.Random(2)
+    points = [chr(c) for c in range(1, 0x30000) if unicodedata.category(chr(c))[0] in "LN"]
+    words = {"".join(rng.choices("aZySsedinglE39.,'’éΣσİßæﬁ", k=rng.randint(1, 12))) for _ in range(20000)} | {"a" + c + "Σ" for c in points} | set(points) | {"x" * 40, "x" * 41, "é" * 40, "é" * 41, "The", "Heating"}
+    words = sorted(words)
+    for config in (AnalyzerConfig(), AnalyzerConfig(stemmer="none"), AnalyzerConfig.minimal(), AnalyzerConfig(fold=False), AnalyzerConfig(normalise=False)):
+        analyzer = Analyzer(config)
+        assert invert.terms_of(pa.array(words), analyzer).to_pylist() == [analyzer.term(w) for w in words]
+    asked, plain = [], porter.stem.__wrapped__
+    monkeypatch.setattr(porter, "stem", type("", (), {"__wrapped__": staticmethod(lambda w: asked.append(w) or plain(w))}))
+    monkeypatch.setattr(invert, "_TERMS", {})
+    assert invert.terms_of(pa.array(["Thon", "heating", "the", "ble"]), Analyzer()).to_pylist() == ["thon", "heat", None, "ble"] and asked == ["heating", "ble"]
+
+
+def test_parsing_computes_each_part_once(spark):
+    from pyspark.sql import functions as F
+
+    from quern.functions import text
+    from quern.sources import documents
+
+    texts = ["", " ", "a", " a\t", "\x00\x0b", "a\r\nb \n\n\n\n c\u00a0 d", "# ## title of it\nrest", "é" * 121, "x y" * 50 + "\nrest", "ab " * 45 + "\n \nrest  it\n", "#\n", "# # \n\nbody", "a \n b", "a\n\nb", "a\n\n\nb"]
+    df = spark.createDataFrame([(str(k), "text", t) for k, t in enumerate(texts)], "external_id string, media_type string, content string")
+    for n in ("title", "url", "author", "category"):
+        df = df.withColumn(n, F.lit(None).cast("string"))
+    docs = documents.checked(df.withColumn("tags", F.lit(None).cast("array<string>")).withColumn("published_at", F.lit(None).cast("timestamp")))
+    for r in docs.select(F.col("external_id").cast("int"), "title", "body").collect():
+        whole = text.py_normalise(texts[r[0]])
+        first, _, rest = whole.partition("\n")
+        assert (r["title"], r["body"]) == (text.py_truncate(first.strip(" ").lstrip("# "), 120), rest.strip(" \n") or whole), texts[r[0]]
+    assert docs._jdf.queryExecution().optimizedPlan().toString().count("substring_index(") == 1
