@@ -175,11 +175,11 @@ class Index:
         """
         known = self.documents.select("external_id", F.col("doc_id").alias("_old"), F.col("checksum").alias("_sum"))
         batch = batch.withColumn("checksum", checksum(*[c for c in DOCUMENT if c in batch.columns]))
+        sums = batch.groupBy("external_id").agg(F.max("checksum").alias("checksum"))  # statuses need no texts
         batch = batch.groupBy("external_id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "external_id"]), "checksum").alias("r")).select("external_id", "r.*")
-        both = batch.join(known, "external_id", "left")
         same = F.col("_sum").eqNullSafe(F.col("checksum")) & F.lit(not force)
-        both = both.withColumn("status", F.when(F.col("_old").isNull(), "created").when(same, "unchanged").otherwise("updated"))
-        changed = both.where("status <> 'unchanged'").withColumn("doc_id", F.coalesce("_old", F.xxhash64("external_id")))
+        told = lambda rows: rows.join(known, "external_id", "left").withColumn("status", F.when(F.col("_old").isNull(), "created").when(same, "unchanged").otherwise("updated"))
+        changed = told(batch).where("status <> 'unchanged'").withColumn("doc_id", F.coalesce("_old", F.xxhash64("external_id")))
         new_docs = changed.select(*self.documents.columns)
         gone = changed.select("doc_id")
         parts = chunks(new_docs, self.settings)
@@ -195,7 +195,7 @@ class Index:
             self.lengths.join(gone, "doc_id", "left_anti").unionByName(lengths_from(parts)),
             self.settings,
         )
-        return index, both.select("external_id", "status")
+        return index, told(sums).select("external_id", "status")
 
     def delete(self, external_ids: list[str]) -> Index:
         """Without the given documents; their terms stay with frequency 0 until prune()."""

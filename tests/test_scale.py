@@ -183,3 +183,14 @@ def test_parsing_computes_each_part_once(spark):
         first, _, rest = whole.partition("\n")
         assert (r["title"], r["body"]) == (text.py_truncate(first.strip(" ").lstrip("# "), 120), rest.strip(" \n") or whole), texts[r[0]]
     assert docs._jdf.queryExecution().optimizedPlan().toString().count("substring_index(") == 1
+
+
+def test_statuses_of_an_upsert_need_neither_texts_nor_postings(spark, tmp_path):
+    import glob
+
+    from quern.storage import shared_dir
+
+    path, before = tables(tmp_path, TEXTS), set(glob.glob(f"{shared_dir(spark)}/quern-index-*"))
+    assert got(spark, path, "upsert_status") == wanted(path, "upsert_status")
+    assert set(glob.glob(f"{shared_dir(spark)}/quern-index-*")) == before
+    assert "max_by" not in queries.queries()["upsert_status"](spark, path)._jdf.queryExecution().optimizedPlan().toString()
